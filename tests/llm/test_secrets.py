@@ -1,0 +1,61 @@
+import math
+import random
+import string
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from trawl.llm import secrets
+
+HEX = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+
+
+def brute(text, w):
+    best = {}
+    for i in range(len(text) - w + 1):
+        x = text[i : i + w]
+        if x.isdigit():
+            continue
+        kind = "symbol" if not x.isalnum() else "hex" if set(x) <= set("0123456789abcdefABCDEF") else "alpha" if x.isalpha() else "alnum"
+        h = -sum(x.count(c) / w * math.log2(x.count(c) / w) for c in set(x))
+        best[kind] = max(best.get(kind, -1), h)
+    return best
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="abcdefXYZ0123456789+/", min_size=0, max_size=60), st.sampled_from([4, 20]))
+def test_increments_equal_whole_windows(text, w):
+    got = {k: math.log2(w) - s / w / (1 << 20) for k, s in secrets.entropies(text, w).items()}
+    want = brute(text, w)
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-5 for k in want)
+
+
+def test_finds_and_allows():
+    rng = random.Random(1)
+    s = secrets.Scanner()
+    b64 = "".join(rng.choice(string.ascii_letters + string.digits + "+/") for _ in range(40))
+    text = f'ñ token = "{HEX}" and {b64} then 12345678901234567890123 thtionthandtheingandthattion'
+    assert [(a, k, c) for a, k, c, _ in s(text)] == [(text.index(HEX), "hex", HEX), (text.index(b64), s(text)[1][1], b64)]
+    for fine in ("123e4567-e89b-12d3-a456-426614174000", "abcdefghijklmnopqrstuvwxyz", "sha256-" + b64, "a" * 500, ""):
+        assert s(fine) == []
+    assert secrets.Scanner(allow=())("abcdefghijklmnopqrstuvwxyz")
+    assert s.mask(f"x {HEX} y {HEX}") == "x [SECRET] y [SECRET]"
+
+
+def test_odd_rows(spark):
+    rows = [(1, None, "a", 1), (2, "", "b", 0), (None, f"k {HEX}", "c", 42), (3, f"{HEX} x", "d", 42), (3, f"{HEX} x", "d", 42), (4, "word " * 100000 + HEX, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kind string, n_chars long")
+    out = secrets.scan(df)
+    assert out.columns == ["doc_id", "start", "length", "kind", "entropy", "digest"]
+    assert sorted((str(r.doc_id), r.start) for r in out.collect()) == [("3", 0), ("3", 0), ("4", 500000), ("None", 2)]
+    red = secrets.redact(df)
+    assert red.columns == df.columns
+    got = {str(r.doc_id): r for r in red.collect()}
+    assert got["3"].text == "[SECRET] x" and got["3"].n_chars == 10 and got["1"].text is None and got["2"].n_chars == 0
+    assert got["4"].text.endswith(" [SECRET]") and got["4"].n_chars == 500008 and red.count() == 6
+    assert secrets.scan(df.limit(0)).count() == 0 and secrets.redact(df.limit(0)).count() == 0
+
+
+def test_sql(same_as_sql):
+    assert same_as_sql(secrets.query, secrets.SQL, "/root/testdata/sf0.01") > 0
