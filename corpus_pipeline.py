@@ -1,21 +1,57 @@
-"""The corpus pipeline: stages over the documents table, each written before the next reads it."""
+"""The corpus pipeline: stages over the documents table, each written before the next one reads it.
+
+Documents that the quality rules reject go; of each group of near copies one document stays; secrets are masked; documents are
+repeated or left out so that the sources meet their target weights; what remains is packed into sequences. Every stage but the
+last returns the columns of documents. Nulls, empty texts and repeated rows are handled as the operators' docstrings say.
+"""
 
 from __future__ import annotations
 
-from trawl.llm import mixing
+from trawl.llm import jaccard, mixing, packing, quality, secrets
+from trawl.llm.common import cut, table
+
+
+def quality_rules(spark, docs, sf_dir):
+    """Documents that the isolation forest, calibrated on the table labels, does not reject."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark, docs, sf_dir):
+    """One document of each group of near copies, the one of the lowest doc_id."""
+    return jaccard.keep_one(docs)
 
 
-def mix_stage(spark, docs, sf_dir):
+def secret_scan(spark, docs, sf_dir):
+    """Each secret replaced by a mask, n_chars brought up to date."""
+    return secrets.redact(docs)
+
+
+def source_mixing(spark, docs, sf_dir):
+    """Sources weighted by the square roots of their tokens; a document may come several times, or not at all."""
     return mixing.mix_sources(docs).select(*docs.columns)
 
 
-STAGES = [("mixing", mix_stage)]
+def best_fit_packing(spark, docs, sf_dir):
+    """Bins of packed documents: bin_id, slot, doc_id, start, n_tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("secret scans", secret_scan),
+    ("mixing sources to target weights", source_mixing),
+    ("best-fit packing", best_fit_packing),
+]
 
+#: SQL can't grow the isolation forest or pack greedily; tests/llm/test_pipeline.py holds the stages against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = cut(docs, f"pipeline-{k}")
     return docs

@@ -1,10 +1,11 @@
 """The queries of this subpackage, and their SQL where SQL can say the same."""
 
-from trawl.llm import mixing, packing, quality, secrets, sharding
+from trawl.llm import jaccard, mixing, packing, quality, secrets, sharding
 
 QUERIES = {
     "op1_sharding": sharding.query,
     "op3_secret_scans": secrets.query,
+    "op6_ngram_jaccard_join": jaccard.query,
     "op7_quality_rules": quality.query,
     "op8_best_fit_packing": packing.query,
     "op10_source_mixing": mixing.query,
@@ -13,5 +14,6 @@ QUERIES = {
 SQL = {
     "op1_sharding": sharding.SQL,
     "op3_secret_scans": secrets.SQL,
+    "op6_ngram_jaccard_join": jaccard.SQL,
     "op10_source_mixing": mixing.SQL,
 }
