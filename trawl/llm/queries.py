@@ -1,6 +1,6 @@
 """The queries of this subpackage, and their SQL where SQL can say the same."""
 
-from trawl.llm import jaccard, mixing, packing, quality, secrets, sharding
+from trawl.llm import jaccard, mixing, packing, quality, secrets, sharding, substrings
 
 QUERIES = {
     "op1_sharding": sharding.query,
@@ -8,6 +8,7 @@ QUERIES = {
     "op6_ngram_jaccard_join": jaccard.query,
     "op7_quality_rules": quality.query,
     "op8_best_fit_packing": packing.query,
+    "op9_substring_dedup": substrings.query,
     "op10_source_mixing": mixing.query,
 }
 
@@ -15,5 +16,6 @@ SQL = {
     "op1_sharding": sharding.SQL,
     "op3_secret_scans": secrets.SQL,
     "op6_ngram_jaccard_join": jaccard.SQL,
+    "op9_substring_dedup": substrings.SQL,
     "op10_source_mixing": mixing.SQL,
 }
