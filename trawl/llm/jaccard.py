@@ -7,7 +7,9 @@ distance is at most eps = 1 - threshold. The method, step by step:
    this one keeps boilerplate out of the first keys. Frequent n-grams are those that a chunk of documents holds several times.
 2. Windows. Of two joined documents, each has all but 1 - t of its keys in common with the other, at least; so they share keys
    among the first (1 - t) * size + 1 of both. These first keys are spread over buckets by range of keys. A joined pair shares
-   at least `_least_shared` of them, so in at least one bucket it shares its proportional part. Pairs that do so are candidates there.
+   at least `_least_shared` of them, so in at least one bucket it shares its part, the least shared over the number of buckets. Pairs
+   that do so in a bucket, and share STRONG keys there, are candidates at once. Of smaller sets, whose part may be less than STRONG,
+   the counts under STRONG are added up over the buckets; pairs that reach the least shared are candidates too.
 3. Pivots and regions. In a bucket, the pivot of a document is the lowest document that it is a candidate with, or itself. A
    candidate pair belongs to the region of the lower one's pivot, and the other one is copied there as a boundary document. A
    group of near copies has one pivot, so the region's rows grow with the group, not with its square.
@@ -33,7 +35,9 @@ from trawl.llm.common import WordHasher, cut, grams, slices, table
 GRAM, THRESHOLD = 3, 0.55
 #: A chunk of so many keys that holds one n-gram in so many documents makes it a frequent one. At most HOT_KEYS are kept, the
 #: most frequent; which they are has no bearing on the result.
-CHUNK_KEYS, CHUNK_TIMES, HOT_KEYS = 4_000_000, 3, 1_000_000
+CHUNK_KEYS, CHUNK_TIMES, HOT_KEYS = 2_000_000, 3, 1_000_000
+#: Keys in common in one bucket that make a pair a candidate without a look at the other buckets.
+STRONG = 4
 #: First keys that one task holds.
 BUCKET_KEYS = 1 << 22
 #: Regions up to this are joined by counting at once.
@@ -159,7 +163,7 @@ def _count_pairs(keys: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarra
 
     def add(a, b):
         nonlocal n_held
-        held.append(np.minimum(a, b) * n + np.maximum(a, b))
+        held.append(np.minimum(a, b).astype(np.int64) * n + np.maximum(a, b))
         n_held += len(a)
         if n_held > 4_000_000:
             merge()
@@ -183,8 +187,9 @@ def _count_pairs(keys: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarra
     return codes, counts
 
 
-def _regions(spread: DataFrame, t: float) -> DataFrame:
-    """(region, id): the documents of each region, pivot and boundary ones alike; may repeat."""
+def _candidates(spread: DataFrame, t: float, buckets: int) -> DataFrame:
+    """Documents of the regions (a is the pivot or a document by itself, b a document; least 0), and counts n of keys that a and b
+    share in a bucket, to be added up and held against least."""
 
     def run(batches):
         parts = [b for b in batches if b.num_rows]
@@ -201,18 +206,32 @@ def _regions(spread: DataFrame, t: float) -> DataFrame:
         ids, size, n_keys = ids[own], size[own], n_keys[own]
         n = len(ids)
         at = np.repeat(starts[own] - np.concatenate([[0], np.cumsum(n_keys)[:-1]]), n_keys) + np.arange(n_keys.sum())
-        codes, shared = _count_pairs(keys[at], np.repeat(np.arange(n), n_keys), n)
+        codes, shared = _count_pairs(keys[at], np.repeat(np.arange(n, dtype=np.int32), n_keys), n)
         a, b = codes // n, codes % n
-        first = first_keys(size, t)
         ok = (np.minimum(size[a], size[b]) >= t * np.maximum(size[a], size[b]) - 1e-9) & (ids[a] != ids[b])
-        ok &= shared * (first[a] + first[b]) >= _least_shared(size[a], size[b], t) * (n_keys[a] + n_keys[b])
-        a, b = a[ok], b[ok]
+        a, b, shared = a[ok], b[ok], shared[ok]
+        least = _least_shared(size[a], size[b], t)
+        strong = (shared * buckets >= least) & (shared >= STRONG)
+        weak = (shared < STRONG) & (least < STRONG * buckets)
         pivot = np.arange(n)
-        np.minimum.at(pivot, b, a)
-        got = np.unique(np.concatenate([pivot[a] * n + a, pivot[a] * n + b]))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[got // n]), pa.array(ids[got % n])], ["region", "id"])
+        np.minimum.at(pivot, b[strong], a[strong])
+        a_, b_ = a[strong], b[strong]
+        got = np.unique(np.concatenate([pivot[a_] * n + a_, pivot[a_] * n + b_]))
+        none = np.zeros(len(got), np.int32)
+        for cols in ((ids[got // n], ids[got % n], none, none), (ids[a[weak]], ids[b[weak]], shared[weak].astype(np.int32), least[weak].astype(np.int32))):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["a", "b", "n", "least"])
 
-    return spread.mapInArrow(run, "region bigint, id bigint")
+    return spread.mapInArrow(run, "a bigint, b bigint, n int, least int")
+
+
+def _regions(spread: DataFrame, t: float, buckets: int) -> DataFrame:
+    """(region, id): the documents of each region, pivot and boundary ones alike, each once."""
+    found = cut(_candidates(spread, t, buckets), "jaccard-candidates")
+    pairs = found.where("least > 0").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("least").alias("least")).where("n >= least").select("a", "b")
+    pivots = pairs.groupBy(F.col("b").alias("a")).agg(F.min("a").alias("pivot"))
+    placed = pairs.join(pivots, "a", "left").select(F.coalesce("pivot", "a").alias("region"), "a", "b")
+    summed = placed.select("region", F.explode(F.array("a", "b")).alias("id"))
+    return found.where("least = 0").select(F.col("a").alias("region"), F.col("b").alias("id")).unionByName(summed).distinct()
 
 
 def _binary(col: pa.Array) -> np.ndarray:
@@ -368,7 +387,7 @@ def _join(df: DataFrame, key: str, text: str, n: int, t: float, forest: bool) ->
     hot = spark.sparkContext.broadcast(np.sort(frequent["id"].to_numpy().view(np.uint64)))
     buckets = max(8, math.ceil(total * (1 - t) / BUCKET_KEYS))
     spread = _spread(docs, hot, n, t, buckets).repartitionById(buckets, "bucket")
-    regions = cut(_regions(spread, t).distinct(), "jaccard-regions")
+    regions = cut(_regions(spread, t, buckets), "jaccard-regions")
     of_doc = regions.groupBy(F.col("id").alias("__id")).agg(F.collect_set("region").alias("regions"))
     if of_doc.count() <= BROADCAST_DOCS:
         of_doc = F.broadcast(of_doc)
