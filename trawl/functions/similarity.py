@@ -213,12 +213,16 @@ def complete(queries, vocabulary, k: int = 10):
     """(query_id, word, distance, rank): the k words of vocabulary(word, weight) that best complete each query(query_id, q).
 
     Distance is that of the query to the nearest prefix of the word and at most 1, 2 or 3 by the query's length; of equal distances the
-    heavier word comes first. Words too short to be that near never meet a query; the distance is built of JVM functions.
+    heavier word comes first. A word counts by no more than its beginning, as long as the query and those edits: distances are
+    taken once for each distinct query and each distinct beginning, and the words come back by equality.
     """
     from pyspark.sql import Window as W
 
-    allowed = dynamic_threshold(F.length("q"))
-    near = queries.join(vocabulary, F.length("word") >= F.length("q") - allowed)
-    scored = near.withColumn("distance", prefix_distance(F.col("q"), F.substring(F.col("word"), F.lit(1), F.length("q") + allowed))).where(F.col("distance") <= allowed)
+    asked = queries.select("q").distinct().withColumn("allowed", dynamic_threshold(F.length("q"))).withColumn("size", F.length("q") + F.col("allowed"))
+    begun = vocabulary.crossJoin(F.broadcast(asked.select("size").distinct()))  # sizes are no more than the lengths of queries
+    begun = begun.withColumn("head", F.substring(F.col("word"), F.lit(1), F.col("size"))).where(F.length("head") >= F.col("size") - 6)
+    heads = begun.select("size", "head").distinct()
+    near = asked.join(heads, "size").withColumn("distance", prefix_distance(F.col("q"), F.col("head"))).where(F.col("distance") <= F.col("allowed"))
+    found = queries.join(near, "q").join(begun, ["size", "head"])
     order = W.partitionBy("query_id").orderBy("distance", F.desc("weight"), "word")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "word", "distance", "rank")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "word", "distance", "rank")

@@ -45,11 +45,20 @@ def grams(text: Column, n: int) -> Column:
     return F.when(size >= 1, F.transform(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
 
+def _real(found: Column, n: int, pad: int) -> Column:
+    """Without the gram that is padding alone."""
+    return F.filter(found, lambda g: g != PAD * n) if pad >= n else found
+
+
+def _weighted(texts: Column, weight: float) -> Column:
+    return F.transform(texts, lambda v: F.struct(F.lit(weight).alias("weight"), v.alias("text")))
+
+
 def index_terms(text: Column, sizes: tuple[int, ...] = (3,), pad: int = 2) -> Column:
     """The terms of a document in the order in which they count: grams of the padded text by size, then words of at least the
     smallest size. Grams of padding alone are none."""
     padded = F.concat(F.lit(PAD * pad), text)
-    parts = [F.filter(grams(padded, n), lambda g, n=n: g != PAD * n) for n in sizes]
+    parts = [_real(grams(padded, n), n, pad) for n in sizes]
     return F.concat(*parts, F.filter(words(text), lambda w: F.length(w) >= sizes[0]))
 
 
@@ -59,7 +68,7 @@ def query_terms(text: Column, sizes: tuple[int, ...] = (3,), pad: int = 2, limit
     With high_resolution also the text without its delimiters, and its grams.
     """
     padded = F.concat(F.lit(PAD * pad), text)
-    parts = [F.filter(words(text), lambda w: F.length(w) >= sizes[0])] + [F.filter(grams(padded, n), lambda g, n=n: g != PAD * n) for n in sizes]
+    parts = [F.filter(words(text), lambda w: F.length(w) >= sizes[0])] + [_real(grams(padded, n), n, pad) for n in sizes]
     if high_resolution:
         joined = F.array_join(words(text), "")
         parts += [grams(joined, n) for n in sizes] + [F.filter(F.array(joined), lambda x: x != "")]
@@ -80,7 +89,7 @@ def searchable(specs, dtypes: dict[str, str]) -> Column:
     for s in ordered:
         values = F.col(s.name).cast("array<string>") if dtypes[s.name].startswith("array") else F.array(F.col(s.name).cast("string"))
         texts = F.filter(F.coalesce(values, F.array().cast("array<string>")), lambda v: v.isNotNull())
-        parts.append(F.transform(texts, lambda v, s=s: F.struct(F.lit(WEIGHTS[s.weight]).alias("weight"), v.alias("text"))))
+        parts.append(_weighted(texts, WEIGHTS[s.weight]))
     return F.concat(*parts)
 
 

@@ -63,13 +63,15 @@ def with_ids(docs: DataFrame, key: str, segment: str | None = None) -> DataFrame
 def prepare(docs: DataFrame, fields: list[FieldSpec], key: str, segment: str | None = None, synonyms: Synonyms | None = None) -> DataFrame:
     """The docs table: ids, the weighted texts (parts), and the joined text in its forms."""
     parts = T.searchable(fields, dict(docs.dtypes))
-    fold = (lambda c: c) if synonyms is None or not len(synonyms) else synonyms.canonical_text
+    plain = synonyms is None or not len(synonyms)
+    fold, fold_all = ((lambda c: c),) * 2 if plain else (synonyms.canonical_text, synonyms.canonical_texts)
     kept = [f.name for f in fields if f.name not in ("doc_key", "segment", "doc_id")]
     own = with_ids(docs, key, segment).select("doc_id", "doc_key", "segment", *kept, parts.alias("__raw"))
     norm = F.transform("__raw", lambda p: F.struct(p["weight"].alias("weight"), T.normalize(p["text"]).alias("text")))
     own = own.withColumn("parts", norm).drop("__raw")
     own = own.withColumn("norm_text", fold(F.array_join(F.transform("parts", lambda p: p["text"]), T.FIELD_MARK)))
-    own = own.withColumn("parts", F.transform("parts", lambda p: F.struct(p["weight"].alias("weight"), fold(F.lower(p["text"])).alias("text"))))
+    own = own.withColumn("__texts", fold_all(F.transform("parts", lambda p: F.lower(p["text"]))))
+    own = own.withColumn("parts", F.transform("__texts", lambda t, i: F.struct(F.element_at("parts", i + 1)["weight"].alias("weight"), t.alias("text")))).drop("__texts")
     own = own.withColumn("lower_text", F.array_join(F.transform("parts", lambda p: p["text"]), T.FIELD_MARK))
     listed = T.words(F.col("lower_text"))
     return own.withColumn("first_token", F.try_element_at(listed, F.lit(1))).withColumn("token_count", F.least(F.size(listed), F.lit(65535)))
@@ -107,8 +109,7 @@ def term_counts(parts: list[tuple[float, str]], sizes: tuple[int, ...], pad: int
         first, step = _STEPS[next(iter(weights), 1.25)]
         if continued:
             return dict.fromkeys(counts, first)
-        last = 256 if step == 1 else 256
-        return {t: min(first + (c - 1) * step, last) for t, c in counts.items()}
+        return {t: min(first + (c - 1) * step, 256) for t, c in counts.items()}
     seen: dict[str, list[float]] = {}
     ends, at = [], 0 if continued else pad
     for w, t in parts:
@@ -154,23 +155,10 @@ def postings(docs: DataFrame, config: IndexConfig) -> DataFrame:
     return docs.select("doc_id", "segment", "parts").mapInArrow(run, "term string, doc_id bigint, tf smallint")
 
 
-def term_table(post: DataFrame, n_docs: Column | int, limit: int) -> DataFrame:
-    """(term, df, idf) of terms in no more than limit documents."""
-    n = F.lit(n_docs) if isinstance(n_docs, int) else n_docs
-    return post.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") <= limit).select("term", "df", idf(n, F.col("df")).alias("idf"))
-
-
 def doc_lengths(post: DataFrame) -> DataFrame:
     return post.groupBy("doc_id").agg(F.sum(F.col("tf").cast("long")).alias("dl"))
 
 
-def word_idf(docs: DataFrame, n_docs: Column | int) -> DataFrame:
-    """(word, df, idf) over the documents' distinct words."""
-    n = F.lit(n_docs) if isinstance(n_docs, int) else n_docs
-    found = docs.select(F.explode(F.array_distinct(T.words(F.col("lower_text")))).alias("word"))
-    return found.groupBy("word").agg(F.count("*").alias("df")).select("word", "df", idf(n, F.col("df")).alias("idf"))
-
-
 def word_table(docs: DataFrame) -> DataFrame:
     """(word, doc_id), each once."""
     return docs.select(F.explode(F.array_distinct(T.words(F.col("lower_text")))).alias("word"), "doc_id")
@@ -200,22 +188,28 @@ def stats_table(lengths: DataFrame, docs: DataFrame) -> DataFrame:
     return docs.agg(F.count("*").alias("n_docs")).crossJoin(lengths.agg(F.sum("dl").alias("__dl"))).select("n_docs", (F.coalesce("__dl", F.lit(0)) / F.greatest("n_docs", F.lit(1))).alias("avgdl"))
 
 
-def build_index(docs: DataFrame, fields: list[FieldSpec], key: str = "doc_key", segment: str | None = None, config: IndexConfig | None = None, synonyms: Synonyms | None = None) -> Index:
-    """The index of docs. Nothing runs until a table is used; write it once with trawl.sources.store.save and search what is read back."""
-    config, synonyms = config or IndexConfig(), synonyms or Synonyms()
-    own = prepare(docs, fields, key, segment, synonyms)
-    post = postings(own, config)
+def derive(docs: DataFrame, post: DataFrame, config: IndexConfig) -> dict[str, DataFrame]:
+    """The tables that follow from docs and postings."""
     lengths = doc_lengths(post)
-    stats = stats_table(lengths, own)
+    stats = stats_table(lengths, docs)
     n = F.col("n_docs")
+    # stats is one row
     terms = post.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") <= config.stop_term_limit).crossJoin(F.broadcast(stats)).select("term", "df", idf(n, F.col("df")).alias("idf"))
-    listed = word_table(own)
+    listed = word_table(docs)
     by_word = listed.groupBy("word").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats)).select("word", "df", idf(n, F.col("df")).alias("idf"))
-    tables = {
-        "docs": own.drop("parts"), "postings": post, "terms": terms, "lengths": lengths, "stats": stats, "word_idf": by_word, "words": listed,
-        "deletes": delete_table(by_word.select("word"), config.words or WordMatchConfig()), "prefixes": prefix_table(own),
+    return {
+        "terms": terms, "lengths": lengths, "stats": stats, "word_idf": by_word, "words": listed,
+        "deletes": delete_table(by_word.select("word"), config.words or WordMatchConfig()), "prefixes": prefix_table(docs),
     }
-    return Index(tables, fields, config, synonyms)
+
+
+def build_index(docs: DataFrame, fields: list[FieldSpec], key: str = "doc_key", segment: str | None = None, config: IndexConfig | None = None, synonyms: Synonyms | None = None) -> Index:
+    """The index of docs. Nothing runs until a table is used; write it once with trawl.sources.store.save and search what is read back."""
+    config, synonyms = config or IndexConfig(), synonyms or Synonyms()
+    own = prepare(docs, fields, key, segment, synonyms)
+    post = postings(own, config)
+    own = own.drop("parts")
+    return Index({"docs": own, "postings": post} | derive(own, post, config), fields, config, synonyms)
 
 
 def get_document(index: Index, key: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -46,6 +48,13 @@ class Synonyms:
     def canonical(self, word: str) -> str:
         return self._root(word.strip().lower()) if word.strip().lower() in self.up else word
 
+    def as_pairs(self) -> list[list[str]]:
+        return sorted([a, b] for a, others in self.pairs.items() for b in others if a < b)
+
+    @classmethod
+    def of_pairs(cls, pairs: list[list[str]]) -> Synonyms:
+        return cls(pairs)
+
     def clear(self) -> None:
         self.up.clear()
         self.pairs.clear()
@@ -58,30 +67,34 @@ class Synonyms:
 
     def canonical_text(self, text: Column) -> Column:
         """Each word of the text by the one that stands for its class; what is between the words stays."""
-        to, marks = self.mapping(), frozenset(DELIMITERS)
-        if not to:
+        replace = self._replacer()
+        if replace is None:
             return text
 
         @F.arrow_udf("string")
-        def replace(texts: pa.Array) -> pa.Array:
-            out = []
-            for t in texts.to_pylist():
-                if t is None:
-                    out.append(None)
-                    continue
-                parts, word = [], []
-                for c in t:
-                    if c in marks:
-                        w = "".join(word)
-                        parts += [to.get(w.lower(), w), c]
-                        word = []
-                    else:
-                        word.append(c)
-                w = "".join(word)
-                out.append("".join([*parts, to.get(w.lower(), w)]))
-            return pa.array(out, pa.string())
-
-        return replace(text)
+        def run(texts: pa.Array) -> pa.Array:
+            return pa.array([None if t is None else replace(t) for t in texts.to_pylist()], pa.string())
+
+        return run(text)
+
+    def canonical_texts(self, texts: Column) -> Column:
+        """canonical_text of each text of an array."""
+        replace = self._replacer()
+        if replace is None:
+            return texts
+
+        @F.arrow_udf("array<string>")
+        def run(lists: pa.Array) -> pa.Array:
+            return pa.array([None if x is None else [None if t is None else replace(t) for t in x] for x in lists.to_pylist()], pa.list_(pa.string()))
+
+        return run(texts)
+
+    def _replacer(self):
+        to = self.mapping()
+        if not to:
+            return None
+        word = re.compile("[^" + re.escape(DELIMITERS) + "]+")
+        return lambda text: word.sub(lambda m: to.get(m[0].lower(), m[0]), text)
 
     def canonical_words(self, words: Column) -> Column:
         """The same over an array of words, without leaving the JVM."""
