@@ -40,6 +40,8 @@ CHUNK_KEYS, CHUNK_TIMES, HOT_KEYS = 2_000_000, 3, 1_000_000
 STRONG = 4
 #: First keys that one task holds.
 BUCKET_KEYS = 1 << 22
+#: Pairs that share one key, held at a time.
+BLOCK_PAIRS = 1 << 20
 #: Regions up to this are joined by counting at once.
 REGION = 1024
 #: Documents in regions up to this are found by a broadcast of their ids (8 bytes each), beyond it by a shuffled join.
@@ -145,46 +147,33 @@ def _spread(docs: DataFrame, hot, n: int, t: float, buckets: int) -> DataFrame:
     return docs.mapInArrow(run, "bucket int, id bigint, size bigint, sig bigint, keys binary")
 
 
-def _count_pairs(keys: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codes i * n + j, i < j, of owners with a key in common, and how many they have."""
+def _count_pairs(keys: np.ndarray, owner: np.ndarray, n: int):
+    """(i, j, how many keys they have in common) of all i < j of n owners with a key in common; owner ascends.
+
+    Comes in blocks of ascending i, each with all its pairs, so memory is that of a block however many pairs there are in all.
+    """
     order = np.argsort(keys, kind="stable")
     keys, owner = keys[order], owner[order]
     cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    ends = np.concatenate([cuts[1:], [len(keys)]])
-    held: list[np.ndarray] = []
-    codes, counts, n_held = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
-
-    def merge():
-        nonlocal codes, counts, held, n_held
-        new, times = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        both, back = np.unique(np.concatenate([codes, new]), return_inverse=True)
-        counts = np.bincount(back, np.concatenate([counts, times]), len(both)).astype(np.int64)
-        codes, held, n_held = both, [], 0
-
-    def add(a, b):
-        nonlocal n_held
-        held.append(np.minimum(a, b).astype(np.int64) * n + np.maximum(a, b))
-        n_held += len(a)
-        if n_held > 4_000_000:
-            merge()
-
-    # runs of up to 64 all together: the k-th next owner of each, while it has the same key
-    length = ends - cuts
-    small = (length > 1) & (length <= 64)
-    left = np.repeat(ends[small], length[small])
-    at = np.concatenate([np.arange(a, b) for a, b in zip(cuts[small], ends[small])]) if small.any() else np.zeros(0, np.int64)
-    for k in range(1, 64):
-        ok = at + k < left
-        at, left = at[ok], left[ok]
-        if not len(at):
-            break
-        add(owner[at], owner[at + k])
-    for a, b in zip(cuts[length > 64], ends[length > 64]):
-        own = owner[a:b]
-        for k in range(1, len(own)):
-            add(own[:-k], own[k:])
-    merge()
-    return codes, counts
+    ends = np.concatenate([cuts[1:], [len(keys)]]).astype(np.int64)
+    # those that come after it among the owners of its key
+    later = np.repeat(ends, ends - cuts) - np.arange(len(keys)) - 1
+    places = np.flatnonzero(later)
+    places = places[np.argsort(owner[places], kind="stable")]
+    work, of = np.cumsum(later[places]), owner[places]
+    at = 0
+    while at < len(places):
+        done = work[at - 1] if at else 0
+        end = max(int(np.searchsorted(work, done + BLOCK_PAIRS, "right")), at + 1)
+        # an owner's pairs stay together
+        end = int(np.searchsorted(of, of[end - 1], "right"))
+        own = places[at:end]
+        times = later[own]
+        first = np.repeat(np.cumsum(times) - times, times)
+        other = np.repeat(own, times) + 1 + np.arange(int(times.sum())) - first
+        codes, counts = np.unique(np.repeat(of[at:end].astype(np.int64), times) * n + owner[other], return_counts=True)
+        yield codes // n, codes % n, counts
+        at = end
 
 
 def _candidates(spread: DataFrame, t: float, buckets: int) -> DataFrame:
@@ -206,20 +195,25 @@ def _candidates(spread: DataFrame, t: float, buckets: int) -> DataFrame:
         ids, size, n_keys = ids[own], size[own], n_keys[own]
         n = len(ids)
         at = np.repeat(starts[own] - np.concatenate([[0], np.cumsum(n_keys)[:-1]]), n_keys) + np.arange(n_keys.sum())
-        codes, shared = _count_pairs(keys[at], np.repeat(np.arange(n, dtype=np.int32), n_keys), n)
-        a, b = codes // n, codes % n
-        ok = (np.minimum(size[a], size[b]) >= t * np.maximum(size[a], size[b]) - 1e-9) & (ids[a] != ids[b])
-        a, b, shared = a[ok], b[ok], shared[ok]
-        least = _least_shared(size[a], size[b], t)
-        strong = (shared * buckets >= least) & (shared >= STRONG)
-        weak = (shared < STRONG) & (least < STRONG * buckets)
-        pivot = np.arange(n)
-        np.minimum.at(pivot, b[strong], a[strong])
-        a_, b_ = a[strong], b[strong]
-        got = np.unique(np.concatenate([pivot[a_] * n + a_, pivot[a_] * n + b_]))
-        none = np.zeros(len(got), np.int32)
-        for cols in ((ids[got // n], ids[got % n], none, none), (ids[a[weak]], ids[b[weak]], shared[weak].astype(np.int32), least[weak].astype(np.int32))):
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["a", "b", "n", "least"])
+        pivot, got = np.arange(n), []
+        for a, b, shared in _count_pairs(keys[at], np.repeat(np.arange(n, dtype=np.int32), n_keys), n):
+            ok = (np.minimum(size[a], size[b]) >= t * np.maximum(size[a], size[b]) - 1e-9) & (ids[a] != ids[b])
+            a, b, shared = a[ok], b[ok], shared[ok]
+            least = _least_shared(size[a], size[b], t)
+            strong = (shared * buckets >= least) & (shared >= STRONG)
+            weak = (shared < STRONG) & (least < STRONG * buckets)
+            # a ascends from block to block: after its own block the pivot of a is final
+            np.minimum.at(pivot, b[strong], a[strong])
+            a_, b_ = a[strong], b[strong]
+            got.append(np.unique(np.concatenate([pivot[a_] * n + a_, pivot[a_] * n + b_])))
+            if weak.any():
+                yield batch(ids[a[weak]], ids[b[weak]], shared[weak].astype(np.int32), least[weak].astype(np.int32))
+        regions = np.unique(np.concatenate(got)) if got else np.zeros(0, np.int64)
+        none = np.zeros(len(regions), np.int32)
+        yield batch(ids[regions // n], ids[regions % n], none, none)
+
+    def batch(*cols):
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["a", "b", "n", "least"])
 
     return spread.mapInArrow(run, "a bigint, b bigint, n int, least int")
 
