@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawl.llm.common import n_words, unit
+from trawl.llm.common import cut, n_words, unit
 
 SEED = "mix-1"
+#: Up to so many sources their rates are broadcast (some 100 bytes each); beyond it the join is left to Spark.
+BROADCAST_SOURCES = 200_000
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, source: str = "source", text: str = "text") -> DataFrame:
@@ -37,12 +39,15 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, epochs
     "". Returns the columns of docs and copy_no from 1 on; a column of that name in docs is replaced. A null text has no
     tokens, repeated rows count and are emitted each. An empty table gives an empty table.
 
-    Tokens per source are one aggregation with partial sums on the map side; its few rows come back by a join that Spark
-    plans by their measured size, so the documents are not shuffled when the sources fit a broadcast.
+    Tokens per source are one aggregation with partial sums on the map side. Its rows are written and counted: of up to
+    BROADCAST_SOURCES sources the rates are broadcast, so neither documents nor a hot source are shuffled.
     """
     columns = [c for c in docs.columns if c != copy_col]
     own = docs.select(*columns).withColumn("__mix_key", F.col(source))
-    rated = own.join(rates(docs, weights, epochs, source, text), F.col("__mix_key").eqNullSafe(F.col("__mix_source")), "inner")
+    per = cut(rates(docs, weights, epochs, source, text).select("__mix_source", "__mix_rate"), "mix-rates")
+    if per.count() <= BROADCAST_SOURCES:
+        per = F.broadcast(per)
+    rated = own.join(per, F.col("__mix_key").eqNullSafe(F.col("__mix_source")), "inner")
     rate = F.col("__mix_rate")
     copies = (F.floor(rate) + (unit(seed, F.col(key)) < rate - F.floor(rate)).cast("long")).cast("int")
     return rated.withColumn("__mix_n", copies).where("__mix_n > 0").select(*columns, F.explode(F.sequence(F.lit(1), F.col("__mix_n"))).alias(copy_col))
