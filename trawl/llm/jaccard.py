@@ -153,11 +153,17 @@ def _count_pairs(keys: np.ndarray, owner: np.ndarray, n: int):
     Comes in blocks of ascending i, each with all its pairs, so memory is that of a block however many pairs there are in all.
     """
     order = np.argsort(keys, kind="stable")
-    keys, owner = keys[order], owner[order]
+    keys = keys[order]
+    same = keys[1:] == keys[:-1]
+    again = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(keys) else np.zeros(0, bool)
+    # keys of one owner alone make no pairs
+    keys, owner = keys[again], owner[order[again]]
+    del order, same, again
     cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     ends = np.concatenate([cuts[1:], [len(keys)]]).astype(np.int64)
     # those that come after it among the owners of its key
     later = np.repeat(ends, ends - cuts) - np.arange(len(keys)) - 1
+    del keys, cuts, ends
     places = np.flatnonzero(later)
     places = places[np.argsort(owner[places], kind="stable")]
     work, of = np.cumsum(later[places]), owner[places]
@@ -196,7 +202,9 @@ def _candidates(spread: DataFrame, t: float, buckets: int) -> DataFrame:
         n = len(ids)
         at = np.repeat(starts[own] - np.concatenate([[0], np.cumsum(n_keys)[:-1]]), n_keys) + np.arange(n_keys.sum())
         pivot, got = np.arange(n), []
-        for a, b, shared in _count_pairs(keys[at], np.repeat(np.arange(n, dtype=np.int32), n_keys), n):
+        pairs = _count_pairs(keys[at], np.repeat(np.arange(n, dtype=np.int32), n_keys), n)
+        del parts, keys, at, starts, order, same, own, sig
+        for a, b, shared in pairs:
             ok = (np.minimum(size[a], size[b]) >= t * np.maximum(size[a], size[b]) - 1e-9) & (ids[a] != ids[b])
             a, b, shared = a[ok], b[ok], shared[ok]
             least = _least_shared(size[a], size[b], t)
