@@ -159,7 +159,9 @@ def _count_pairs(keys: np.ndarray, owner: np.ndarray, n: int):
     # keys of one owner alone make no pairs
     keys, owner = keys[again], owner[order[again]]
     del order, same, again
-    cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    if not len(keys):
+        return
+    cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     ends = np.concatenate([cuts[1:], [len(keys)]]).astype(np.int64)
     # those that come after it among the owners of its key
     later = np.repeat(ends, ends - cuts) - np.arange(len(keys)) - 1
