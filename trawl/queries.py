@@ -461,7 +461,7 @@ def passages(spark, sf_dir):
 @query()
 def segment_search(spark, sf_dir):
     cut = segment.split_documents(table(spark, sf_dir, "documents"), "doc_id", "text", 2000)
-    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.substring("text", 1, 60).alias("text"))
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), "text")
     return SearchEngine(stored(spark, cut, [FieldSpec("text")], "doc_key", segment="segment")).search(queries, k=5, depth=100).records
 
 
