@@ -12,17 +12,20 @@ from pyspark.sql import functions as F
 
 from trawl.llm.common import table
 
-WINDOW = 20
+WINDOW = 16
 #: Bits a window of each class must reach. A class is the narrowest alphabet that holds all characters of a window; windows
-#: of digits alone are never secrets.
-THRESHOLDS = {"hex": 3.0, "alpha": 4.1, "alnum": 3.8, "symbol": 4.1}
+#: of digits alone are never secrets. Set from random strings of each class against the words of the test tables, alone, joined
+#: by one of -_/ and followed by digits; the README has the shares.
+THRESHOLDS = {"hex": 2.9, "alpha": 3.6, "alnum": 3.25, "symbol": 3.65}
 CANDIDATE = r"[A-Za-z0-9+/=_-]"
-#: Candidates in which one of these is found are no secrets: UUIDs, alphabets in order, placeholders, published digests.
+_PLACEHOLDER = "abcdefghijklm|ABCDEFGHIJKLM|0123456789|EXAMPLE|example|XXXX|xxxx"
+#: Candidates in which one of these is found are no secrets: UUIDs, alphabets in order and placeholders that leave no window of
+#: other characters (a name of letters before = aside), a key of published manuals, published digests.
 ALLOW = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"abcdefghijklm|ABCDEFGHIJKLM|0123456789",
-    r"EXAMPLE|example|XXXX|xxxx",
-    r"^sha(1|256|384|512)-",
+    rf"^([A-Za-z_-]{{1,40}}=)?(.{{0,{WINDOW - 1}}}({_PLACEHOLDER}))+.{{0,{WINDOW - 1}}}$",
+    r"^(.*=)?wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY$",
+    r"^sha(1|256|384|512)-[A-Za-z0-9+/]+=*$",
 )
 MASK = "[SECRET]"
 _SCALE = 1 << 20
