@@ -60,6 +60,33 @@ def test_judges_labelled_rows(spark):
     assert kept.count() == quality.judge(docs, labels).where("keep").count()
 
 
+def test_labels_of_other_documents_use_up_nothing(spark):
+    docs, labels = table(spark, "/root/testdata/sf0.001", "documents"), table(spark, "/root/testdata/sf0.001", "labels").select("doc_id", "quality")
+    other = spark.range(10**9, 10**9 + 20000).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS quality")
+    n = labels.count()
+    forest, threshold = quality.fit(docs, labels, fit_rows=n)
+    again, same = quality.fit(docs, labels.unionByName(other), fit_rows=n)
+    assert threshold == same < 1 and np.array_equal(forest.cut, again.cut) and np.array_equal(forest.feature, again.feature)
+
+
+def test_threshold_is_of_all_labelled_documents(spark):
+    docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
+    forest, threshold = quality.fit(docs, labels, fit_rows=40)
+    assert forest.rows == 40
+    rows = docs.join(labels.where("quality IS NOT NULL").select("doc_id", "quality").distinct(), "doc_id").collect()
+    scores = forest.scores(quality.rule_stats(pa.array([r.text for r in rows]), WordHasher()))
+    good = np.array([r.quality > 0 for r in rows])
+    gain = lambda t: np.mean(scores[~good] > t) - quality.GOOD_COST * np.mean(scores[good] > t)
+    best = max(gain(t) for t in scores)
+    assert abs(gain(threshold) - best) < 1e-9 and threshold == max(t for t in scores if t <= scores[good].max() and gain(t) >= best - 1e-9)
+
+
+def test_counts_stand_for_rows():
+    rng = np.random.default_rng(3)
+    scores, good, n = rng.integers(0, 30, 200) / 30, rng.random(200) < 0.7, rng.integers(1, 5, 200)
+    assert quality.calibrate(scores, good, 2.0, n) == quality.calibrate(np.repeat(scores, n), np.repeat(good, n), 2.0)
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, 0.5), (None, "", 0.5), (2, "a b c", 0.5), (2, "a b c", 0.5), (3, "!!! " * 90000, 0.5)], "doc_id long, text string, score double")
     none = spark.createDataFrame([], "doc_id long, quality int")

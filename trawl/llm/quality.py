@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from trawl.llm.common import WordHasher, slices, table
 
 STATS = ("symbols_per_word", "upper_share", "wordless_share", "repeated_word_share", "repeated_line_share")
-#: At most so many labelled rows fit the forest and its threshold: those of the lowest hashes of the key.
+#: At most so many good labelled documents fit the forest: those of the lowest hashes of the key. Its threshold is calibrated on all.
 FIT_ROWS = 20_000
+#: Scores, from 0 to 1, are counted in so many steps.
+SCORE_STEPS = 1_000_000
 #: Each rate counts as if the text had so many more plain words of five letters, or lines: rates of short texts are noisy.
 SMOOTH_WORDS, SMOOTH_LINES = 30, 3
 TREES, TREE_ROWS, SEED = 128, 256, 7
@@ -136,27 +138,44 @@ def grow(x: np.ndarray, trees: int = TREES, tree_rows: int = TREE_ROWS, seed: in
     return Forest(feature, cut, rows)
 
 
-def calibrate(scores: np.ndarray, good: np.ndarray, cost: float = GOOD_COST) -> float:
+def calibrate(scores: np.ndarray, good: np.ndarray, cost: float = GOOD_COST, counts: np.ndarray | None = None) -> float:
     """The threshold (scores above it are rejected) with the most of: share of bad rows rejected less cost times the share of
-    good rows rejected. Of equals the highest; without bad rows the highest score of a good one; without good rows infinite."""
+    good rows rejected. Of equals the highest; without bad rows the highest score of a good one; without good rows infinite.
+    counts says how many rows each score stands for, one if not given."""
     if not good.any():
         return math.inf
-    top, low = np.sort(scores[good]), np.sort(scores[~good])
-    at = np.unique(np.concatenate([scores[scores < top[-1]], top[-1:]]))
-    gain = (len(low) - np.searchsorted(low, at, "right")) / max(len(low), 1) - cost * (len(top) - np.searchsorted(top, at, "right")) / len(top)
-    return float(at[len(at) - 1 - int(np.argmax(gain[::-1]))])
+    counts = np.ones(len(scores)) if counts is None else counts
+    at, where = np.unique(scores, return_inverse=True)
+    top, low = (np.bincount(where[g], counts[g], len(at)) for g in (good, ~good))
+    at = at[: np.flatnonzero(top)[-1] + 1]
+    gain = (low.sum() - np.cumsum(low)) / max(low.sum(), 1) - cost * (top.sum() - np.cumsum(top)) / top.sum()
+    return float(at[len(at) - 1 - int(np.argmax(gain[: len(at)][::-1]))])
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, cost: float = GOOD_COST, key: str = "doc_id", text: str = "text", quality: str = "quality") -> tuple[Forest, float]:
-    """A forest grown on the good labelled documents, and the threshold calibrated on them."""
+    """A forest grown on at most fit_rows good labelled documents, and the threshold calibrated on all labelled ones.
+
+    All documents are scored where they lie, so that no text is shuffled; keys and scores meet the labels. Scores that differ by less than
+    1 / SCORE_STEPS count as the highest of them, so at most that many reach the driver.
+    """
     picked = labels.where(F.col(key).isNotNull() & F.col(quality).isNotNull()).select(F.col(key).alias("__key"), (F.col(quality) > 0).alias("__good")).distinct()
-    picked = picked.orderBy(F.xxhash64("__key"), "__key", "__good").limit(fit_rows)
-    known = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).join(F.broadcast(picked), "__key")  # fit_rows rows at most
-    got = with_stats(known, "__text", keep=["__key", "__good"]).orderBy("__key", "__good", *STATS).toArrow()
+    own = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).where(F.col("__key").isNotNull())
+    order = [F.xxhash64("__key"), "__key"]
+    sample = picked.where("__good").join(own.select("__key"), "__key", "left_semi").orderBy(*order).limit(fit_rows)
+    known = own.join(F.broadcast(sample), "__key")  # fit_rows keys at most; several documents may have the same
+    got = with_stats(known, "__text", keep=["__key"]).orderBy(*order, *STATS).limit(fit_rows).orderBy("__key", *STATS).toArrow()
     x = np.column_stack([got[s].to_numpy() for s in STATS]) if got.num_rows else np.zeros((0, len(STATS)))
-    good = got["__good"].to_numpy(zero_copy_only=False).astype(bool) if got.num_rows else np.zeros(0, bool)
-    forest = grow(x[good])
-    return forest, calibrate(forest.scores(x), good, cost)
+    forest = grow(x)
+    if not len(x):
+        return forest, math.inf
+    scored = with_stats(own, "__text", ["__key"], forest).select("__key", "score").join(picked, "__key")
+    step = F.floor(F.col("score") * SCORE_STEPS)
+    per = scored.groupBy(step.alias("__step"), "__good").agg(F.max("score").alias("score"), F.count("*").alias("n")).toArrow()
+    # the good and the bad rows of a step have one score, the highest
+    _, where = np.unique(per["__step"].to_numpy(), return_inverse=True)
+    top = np.zeros(where.max() + 1)
+    np.maximum.at(top, where, per["score"].to_numpy())
+    return forest, calibrate(top[where], per["__good"].to_numpy(zero_copy_only=False).astype(bool), cost, per["n"].to_numpy())
 
 
 def with_stats(df: DataFrame, text: str, keep: list[str], forest: Forest | None = None, threshold: float = math.inf) -> DataFrame:
