@@ -39,42 +39,90 @@ def texts(rng, n):
     return [x + " " + line if rng.random() < 0.3 else x for x in out]
 
 
+def brute_classes(pairs):
+    """{document: (lowest of its class, links)} of the pairs."""
+    links, seen = jaccard._Links(), {}
+    for a, b in pairs:
+        links.join(a, b)
+        for x in (a, b):
+            seen[x] = seen.get(x, 0) + 1
+    return {x: (links.root(x), k) for x, k in seen.items()}
+
+
+def as_classes(df):
+    return {r.doc_id: (r.class_id, r.n_links) for r in df.collect()}
+
+
 @pytest.mark.parametrize("t,n,seed", [(0.55, 3, 1), (0.8, 1, 2), (0.3, 2, 3), (1.0, 3, 4)])
 def test_all_pairs(spark, monkeypatch, t, n, seed):
-    monkeypatch.setattr(jaccard, "CHUNK_TIMES", 4)
-    monkeypatch.setattr(jaccard, "REGION", 8)
+    for name, small in (("CHUNK_TIMES", 4), ("CELL_SETS", 8), ("AT_ONCE", 4), ("MEASURED", 3)):
+        monkeypatch.setattr(jaccard, name, small)
     rows = [*enumerate(texts(random.Random(seed), 160))]
+    rows += [(k + 1000, x) for k, x in rows[:30]]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {(r.doc_a, r.doc_b): r.jaccard for r in jaccard.similar_pairs(df, n=n, threshold=t).collect()}
-    assert got == brute(rows, n, t) and got
+    want = brute(rows, n, t)
+    assert got == want and got
+    assert as_classes(jaccard.classes(df, n=n, threshold=t)) == brute_classes(want)
+
+
+def near_family(rng, size, words=120, edits=9):
+    """A text, exact copies of it, and copies with words replaced."""
+    base = [f"w{rng.randrange(3000)}" for _ in range(words)]
+    out = [" ".join(base)] * 3
+    for _ in range(size):
+        w = list(base)
+        for _ in range(rng.randrange(edits + 1)):
+            w[rng.randrange(words)] = f"x{rng.randrange(10**6)}"
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("cell", [1024, 6])
+def test_large_group(spark, monkeypatch, cell):
+    monkeypatch.setattr(jaccard, "CELL_SETS", cell)
+    rng = random.Random(cell)
+    rows = [*enumerate(near_family(rng, 120) + near_family(rng, 20, 60, 4) + near_family(rng, 20, 300, 30))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    p = jaccard._prepare(df, "doc_id", "text", 3, 0.55, True)
+    assert p["homes"].count() > 60 and p["across"].count() > 0  # regions with members, and boundary documents
+    assert as_classes(jaccard.classes(df)) == brute_classes(brute(rows, 3, 0.55))
 
 
-@pytest.mark.parametrize("region,t", [(4, 0.9), (4, 0.5), (30, 0.8), (1000, 0.6)])
-def test_region_join(region, t):
+@pytest.mark.parametrize("at_once,t", [(1, 0.55), (50, 0.8), (10**9, 0.3)])
+def test_windows(at_once, t):
     rng = np.random.default_rng(5)
-    base = [np.unique(rng.integers(0, 60, 30).astype(np.uint64)) for _ in range(4)]
-    sets = [np.unique(np.concatenate([b[rng.random(len(b)) < 0.9], rng.integers(0, 60, 3).astype(np.uint64)])) for b in base for _ in range(20)]
-    sets += [s + np.uint64(1000) for s in sets[:30]]
-    got = jaccard.region_join(sets, t, region)
-    want = {}
-    for i, j in itertools.combinations(range(len(sets)), 2):
-        a, b = set(sets[i].tolist()), set(sets[j].tolist())
-        if len(a & b) / len(a | b) >= t:
-            want[i, j] = len(a & b) / len(a | b)
-    assert got == pytest.approx(want)
+    base = np.unique(rng.integers(0, 2000, 300).astype(np.uint64))
+    sets = [np.unique(np.concatenate([base[rng.random(len(base)) < q], rng.integers(0, 2000, int(300 * (1 - q))).astype(np.uint64)])) for q in rng.random(80)]
+    left, right = sets[:50], sets[50:]
+    got = jaccard.window_join(left, right, jaccard._distances(base, left), jaccard._distances(base, right), t, at_once)
+    want = [[len(set(a.tolist()) & set(b.tolist())) / len(set(a.tolist()) | set(b.tolist())) >= t for b in right] for a in left]
+    assert got.tolist() == want and got.any() and not got.all()
+
+
+def test_one_key_of_several_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a), (1, b), (2, a), (3, b), (4, a + " zz")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_a, r.doc_b) for r in jaccard.similar_pairs(df).collect()} == {(1, 2), (1, 3), (1, 4), (2, 4)}
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in jaccard.classes(df).collect()) == [(1, 1, 3), (2, 1, 2), (3, 1, 1), (4, 1, 2)]
+    assert sorted((r.doc_id, r.text) for r in jaccard.keep_one(df).collect()) == sorted([(1, a), (1, b)])
 
 
 def test_odd_rows(spark):
     long = " ".join(f"x{i}" for i in range(60000))
     rows = [(1, None, 0), (2, "", 0), (3, "...", 0), (None, "a b c d", 1), (4, "a b c d", 1), (5, "A, b; c d!", 1), (5, "A, b; c d!", 1), (6, long, 2), (7, long + " y", 2), (8, "a", 3), (9, "a", 3), (9, "q r s t", 4), (10, "q r s t", 4)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, jaccard int")
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_links int")
     got = {(r.doc_a, r.doc_b): r.jaccard for r in jaccard.similar_pairs(df).collect()}
     assert got == brute([(i, t) for i, t, _ in rows], 3, 0.55)
     assert set(got) == {(4, 5), (6, 7), (8, 9), (9, 10)}
+    found = sorted((r.doc_id, r.class_id, r.n_links) for r in jaccard.classes(df).collect())
+    assert found == [(4, 4, 1), (5, 4, 1), (6, 6, 1), (7, 6, 1), (8, 8, 1), (9, 8, 1), (9, 9, 1), (10, 9, 1)]
     kept = jaccard.keep_one(df)
     assert kept.columns == df.columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [1, 2, 3, None, 4, 6, 8]))
-    assert jaccard.similar_pairs(df.limit(0)).count() == 0 and jaccard.keep_one(df.limit(0)).count() == 0
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [1, 2, 3, None, 4, 6, 8, 9]))
+    for made in (jaccard.similar_pairs, jaccard.classes, jaccard.keep_one):
+        assert made(df.limit(0)).count() == 0
 
 
 def test_components(spark):
@@ -83,9 +131,16 @@ def test_components(spark):
     links = jaccard._Links()
     for a, b in edges:
         links.join(a, b)
-    got = {r.id: r.root for r in jaccard.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.id: r.root for r in jaccard.components(spark.createDataFrame([*edges, (None, 3), (4, None)], "a long, b long")).collect()}
     assert got == {x: links.root(x) for x in {y for e in edges for y in e} if links.root(x) != x}
+    assert jaccard.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def test_sql(same_as_sql):
     assert same_as_sql(jaccard.query, jaccard.SQL) > 0
+
+
+def test_boundary_documents_with_default_settings(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    p = jaccard._prepare(docs, "doc_id", "text", jaccard.GRAM, jaccard.THRESHOLD, True)
+    assert p["homes"].count() > 0 and p["across"].count() + p["lone"].count() > 0

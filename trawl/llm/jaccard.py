@@ -1,23 +1,20 @@
-"""Exact Jaccard join of documents over their word n-grams, and groups of near copies.
-
-Documents are sets of hashed word n-grams in the metric space of the Jaccard distance 1 - J. Two documents join if their
-distance is at most eps = 1 - threshold. The method, step by step:
-
-1. Keys. An n-gram's key is its hash, with the top bit set for n-grams known to be frequent. Any such order of keys is valid;
-   this one keeps boilerplate out of the first keys. Frequent n-grams are those that a chunk of documents holds several times.
-2. Windows. Of two joined documents, each has all but 1 - t of its keys in common with the other, at least; so they share keys
-   among the first (1 - t) * size + 1 of both. These first keys are spread over buckets by range of keys. A joined pair shares
-   at least `_least_shared` of them, so in at least one bucket it shares its part, the least shared over the number of buckets. Pairs
-   that do so in a bucket, and share STRONG keys there, are candidates at once. Of smaller sets, whose part may be less than STRONG,
-   the counts under STRONG are added up over the buckets; pairs that reach the least shared are candidates too.
-3. Pivots and regions. In a bucket, the pivot of a document is the lowest document that it is a candidate with, or itself. A
-   candidate pair belongs to the region of the lower one's pivot, and the other one is copied there as a boundary document. A
-   group of near copies has one pivot, so the region's rows grow with the group, not with its square.
-4. Recursive join. Within a region the sets are whole. A large region is split between two far pivots; documents for which the
-   difference of the distances is within 2 * eps go to both sides, by the triangle inequality. Parts that are small, or that no
-   pivots split, are joined by counting all common keys. Every pair is decided by its true Jaccard similarity.
-
-Exact copies (equal sets) are one document in steps 2 to 4 and are spelled out at the end.
+"""Exact Jaccard join of documents over their word n-grams, and classes of near copies.
+
+Documents are sets of hashed word n-grams in the metric space of the Jaccard distance d = 1 - J. Two sets join if d <= eps = 1 - threshold.
+A set goes by the 64-bit hash of all its n-grams (sid), so equal sets are one set, whatever their keys, and one key may have several.
+
+1. Pivots. Each set has SKETCHES sketches of SKETCH_HASHES min-hashes. Of the sets that share a sketch the one with the most copies is
+   proposed as pivot to the others. Any choice would be exact; this one finds the middle of a group of copies.
+2. Voronoi regions. A set belongs to the region of the pivot proposed to it if its true distance is at most eps / 2, else it is a pivot by itself
+   (lone). By the triangle inequality any two sets of a region join, so they are counted, not compared.
+3. Candidates. Two joined sets share keys among the first (1 - t) * size + 1 of both, in any common order of keys; here frequent
+   n-grams come last. First keys are spread over buckets by range of keys, and sets of different regions that share enough of them are candidates: the
+   one of the later region is a boundary document, replicated to the other's region. Lone candidates meet in the region of the
+   lowest of them that each is a candidate with. Distances alone can't find them: most documents are at distance 1 from any pivot.
+4. Windows. In a region each boundary set has its distance to the pivot measured: members x with d(x, p) + d(y, p) <= eps join it, those with
+   |d(x, p) - d(y, p)| > eps don't, and only those between are compared. Where many are between, the members farther from the pivot get a
+   pivot of their own among them, and both parts go on recursively.
+5. Cells. Large regions are cut into cells of bounded size, each side by hash, so that no task holds a whole group.
 """
 
 from __future__ import annotations
@@ -27,29 +24,38 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from trawl.llm.common import WordHasher, cut, grams, slices, table
+from trawl.llm.common import WordHasher, cut, grams, mix, slices, table
 
 GRAM, THRESHOLD = 3, 0.55
 #: A chunk of so many keys that holds one n-gram in so many documents makes it a frequent one. At most HOT_KEYS are kept, the
 #: most frequent; which they are has no bearing on the result.
 CHUNK_KEYS, CHUNK_TIMES, HOT_KEYS = 2_000_000, 3, 1_000_000
+#: Sketches of a set, and min-hashes of each.
+SKETCHES, SKETCH_HASHES = 4, 3
+#: Sets measured against one pivot in one task.
+MEASURED = 200_000
 #: Keys in common in one bucket that make a pair a candidate without a look at the other buckets.
 STRONG = 4
 #: First keys that one task holds.
 BUCKET_KEYS = 1 << 22
 #: Pairs that share one key, held at a time.
 BLOCK_PAIRS = 1 << 20
-#: Regions up to this are joined by counting at once.
-REGION = 1024
-#: Documents in regions up to this are found by a broadcast of their ids (8 bytes each), beyond it by a shuffled join.
-BROADCAST_DOCS = 2_000_000
+#: Sets and keys of one side of a cell, about.
+CELL_SETS, CELL_KEYS = 1024, 1 << 22
+#: Undecided pairs that are compared at once, without another pivot.
+AT_ONCE = 1 << 16
+#: Sets of this many rows or fewer are looked up by a broadcast (some 50 bytes each), beyond it by a shuffled join.
+BROADCAST_DOCS = 1_000_000
+#: What distances may be off by.
+TINY = 1e-9
+
+_SALTS = mix(np.arange(1, SKETCHES * SKETCH_HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
 def _ceil(x):
-    return np.ceil(x - 1e-9).astype(np.int64)
+    return np.ceil(x - TINY).astype(np.int64)
 
 
 def first_keys(size, t: float):
@@ -75,8 +81,23 @@ def _sets(batch, hasher: WordHasher, n: int, text_at: int = 1):
                 yield at + i, np.unique(grams(words[first[i] : first[i + 1]], n))
 
 
+def _sid(keys: np.ndarray) -> int:
+    total = (keys * np.uint64(0xD1342543DE82EF95) ^ (keys >> np.uint64(29))).sum(dtype=np.uint64)
+    return int(mix(np.array([int(total) + len(keys) * 0x9E3779B97F4A7C15 & (1 << 64) - 1], np.uint64)).view(np.int64)[0])
+
+
+def _sketches(keys: np.ndarray) -> np.ndarray:
+    low = np.full(len(_SALTS), ~np.uint64(0))
+    for at in range(0, len(keys), 1 << 16):
+        np.minimum(low, (keys[None, at : at + (1 << 16)] * _SALTS[:, None]).min(1), out=low)
+    out = np.zeros(SKETCHES, np.uint64)
+    for k in range(SKETCH_HASHES):
+        out = mix(out * np.uint64(0xD6E8FEB86659FD93) + low[k::SKETCH_HASHES])
+    return out.view(np.int64)
+
+
 def _survey(docs: DataFrame, n: int) -> DataFrame:
-    """kind 0: id, signature and size of each document with words; kind 1: n-grams frequent in a chunk, and how often."""
+    """kind 0: id, sid, size and sketches of each document with words; kind 1: n-grams frequent in a chunk (as id), and how often (as size)."""
 
     def run(batches):
         hasher, held, n_held = WordHasher(), [], 0
@@ -84,48 +105,112 @@ def _survey(docs: DataFrame, n: int) -> DataFrame:
         def frequent():
             keys, times = np.unique(np.concatenate(held), return_counts=True)
             hot = times >= CHUNK_TIMES
-            return out(1, keys[hot].view(np.int64), times[hot], times[hot])
+            k = int(hot.sum())
+            return out(1, keys[hot].view(np.int64), np.zeros(k, np.int64), times[hot], [None] * k)
 
-        def out(kind, a, b, c):
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), pa.array(a), pa.array(b), pa.array(c)], ["kind", "id", "sig", "size"])
+        def out(kind, a, b, c, d):
+            cols = [pa.array(np.full(len(a), kind, np.int8)), pa.array(a), pa.array(b), pa.array(c), pa.array(d, pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays(cols, ["kind", "id", "sid", "size", "sketches"])
 
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            rows, sigs, sizes = [], [], []
+            rows, sids, sizes, sketches = [], [], [], []
             for i, keys in _sets(batch, hasher, n):
                 rows.append(i)
-                sigs.append(_signature(keys))
+                sids.append(_sid(keys))
                 sizes.append(len(keys))
+                sketches.append(_sketches(keys))
                 held.append(keys)
                 n_held += len(keys)
                 if n_held >= CHUNK_KEYS:
                     yield frequent()
                     held, n_held = [], 0
             if rows:
-                yield out(0, ids[rows].astype(np.int64), np.array(sigs, np.int64), np.array(sizes, np.int64))
+                yield out(0, ids[rows].astype(np.int64), np.array(sids, np.int64), np.array(sizes, np.int64), sketches)
         if held:
             yield frequent()
 
-    return docs.mapInArrow(run, "kind tinyint, id bigint, sig bigint, size bigint")
+    return docs.mapInArrow(run, "kind tinyint, id bigint, sid bigint, size bigint, sketches array<bigint>")
+
+
+def _small(df: DataFrame, spread_over: int = BROADCAST_DOCS) -> DataFrame:
+    """df, to be broadcast if it has been counted and is small."""
+    return F.broadcast(df) if df.count() <= spread_over else df
+
 
+def _proposals(reps: DataFrame) -> DataFrame:
+    """(sid, pivot): to each set that shares a sketch with one of more copies (or of equally many and a higher sid) the best such set."""
+    one = reps.select("sid", F.struct("n", "sid").alias("rank"), F.posexplode("sketches").alias("k", "sketch"))
+    best = one.groupBy("k", "sketch").agg(F.max("rank").alias("best"), F.count("*").alias("c")).where("c > 1").select("k", "sketch", "best")
+    to = cut(one.join(best, ["k", "sketch"]).where("best.sid <> sid").groupBy("sid").agg(F.max("best")["sid"].alias("pivot")), "jaccard-proposed")
+    for _ in range(2):  # ranks rise from step to step
+        on = to.select(F.col("sid").alias("pivot"), F.col("pivot").alias("next"))
+        to = to.join(on, "pivot", "left").select("sid", F.coalesce("next", "pivot").alias("pivot"))
+    return cut(to.join(to.select(F.col("sid").alias("pivot")), "pivot", "left_anti").select("sid", "pivot"), "jaccard-pivots")
 
-def _signature(keys: np.ndarray) -> int:
-    with np.errstate(over="ignore"):
-        total = (keys * np.uint64(0xD1342543DE82EF95) ^ (keys >> np.uint64(29))).sum(dtype=np.uint64)
-    return int(total.astype(np.int64))
+
+def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(sid, tags, keys) of wanted(id, sid, tags): the n-grams of the text of that id that has that sid, a row for each row that has it."""
+    found = docs.join(_small(wanted.select(F.col("id").alias("__id"), "sid", "tags")), F.col("id") == F.col("__id")).select("id", "text", "sid", "tags")
+
+    def run(batches):
+        hasher = WordHasher()
+        for batch in batches:
+            sids, rows, out = batch.column(2).to_numpy(), [], []
+            for i, keys in _sets(batch, hasher, n):
+                if _sid(keys) == sids[i]:
+                    rows.append(i)
+                    out.append(keys.tobytes())
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(2).take(at), batch.column(3).take(at), pa.array(out, pa.binary())], ["sid", "tags", "keys"])
+
+    tags = wanted.schema["tags"].dataType.simpleString()
+    return found.mapInArrow(run, f"sid bigint, tags {tags}, keys binary")
+
+
+def _homes(docs: DataFrame, reps: DataFrame, n: int, t: float) -> DataFrame:
+    """(sid, home) of the sets within eps / 2 of the pivot proposed to them, and of these pivots."""
+    to = _proposals(reps)
+    salts = to.groupBy("pivot").agg((F.floor(F.count("*") / MEASURED) + 1).cast("int").alias("salts"))
+    mine = to.join(salts, "pivot").select("sid", F.struct("pivot", F.pmod(F.xxhash64("sid"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role")).alias("tag"))
+    theirs = salts.select(F.col("pivot").alias("sid"), "pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    every = mine.unionByName(theirs.select("sid", F.struct("pivot", "salt", F.lit(0).alias("role")).alias("tag")))
+    wanted = cut(every.groupBy("sid").agg(F.collect_list("tag").alias("tags")).join(reps.select("sid", "id"), "sid").select("id", "sid", "tags"), "jaccard-measured")
+    rows = _sets_of(docs, wanted, n).select("sid", F.explode("tags").alias("t"), "keys").select("t.pivot", "t.salt", "t.role", "sid", "keys")
+    rows = rows.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "role")
+
+    def run(batches):
+        now, middle = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            keys, ends = _binary(batch.column(4)), np.cumsum(_lengths(batch.column(4)) // 8)
+            out = []
+            for k, (p, role, sid) in enumerate(zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)))):
+                own = keys[(ends[k - 1] if k else 0) : ends[k]]
+                if role == 0:
+                    now, middle = p, own.copy()
+                elif p == now and float(_distances(middle, [own])[0]) <= (1 - t) / 2 - TINY:
+                    out.append((sid, p))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["sid", "home"])
+
+    near = cut(rows.mapInArrow(run, "sid bigint, home bigint").distinct(), "jaccard-near")
+    return near.unionByName(near.select(F.col("home").alias("sid"), "home").distinct())
 
 
 def _spread(docs: DataFrame, hot, n: int, t: float, buckets: int) -> DataFrame:
-    """The first keys of each document, a row for each bucket that has any."""
+    """The first keys of each document, a row for each bucket that has any; in a bucket four bytes tell keys apart well enough."""
     share = 1 - t
 
     def run(batches):
-        hasher, known = WordHasher(), hot.value
+        hasher, known, seen = WordHasher(), hot.value, set()
         top = np.uint64(1) << np.uint64(63)
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            cols: list[list] = [[], [], [], [], []]
-            for i, grams_ in _sets(batch, hasher, n):
+            cols: list[list] = [[], [], [], []]
+            for _, grams_ in _sets(batch, hasher, n):
+                sid = _sid(grams_)
+                if sid in seen:  # a set of this task that has been sent
+                    continue
+                if len(seen) < 1 << 20:
+                    seen.add(sid)
                 keys = grams_ >> np.uint64(1)
                 if len(known):
                     keys[known[np.minimum(np.searchsorted(known, grams_), len(known) - 1)] == grams_] |= top
@@ -133,22 +218,21 @@ def _spread(docs: DataFrame, hot, n: int, t: float, buckets: int) -> DataFrame:
                 own = keys[: int(first_keys(np.int64(len(keys)), t))]
                 # first keys fill the lowest part of the range, as far as their share; nine tenths of the buckets are for it
                 u = (own & ~top).astype(np.float64) / 2.0**63
-                place = np.where(u < share, 0.9 * u / share, 0.9 + 0.1 * (u - share) / (1 - share))
+                place = np.where(u < share, 0.9 * u / share, 0.9 + 0.1 * (u - share) / (1 - share + 1e-300))
                 bucket = np.minimum((place * buckets).astype(np.int64), buckets - 1)
                 order = np.argsort(bucket, kind="stable")
-                bucket, own = bucket[order], own[order]
+                bucket, short = bucket[order], mix(own[order]).astype(np.uint32)
                 cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-                sig = _signature(grams_)
                 for a, b in zip(cuts, [*cuts[1:], len(own)]):
-                    for col, x in zip(cols, (bucket[a], ids[i], len(keys), sig, own[a:b].tobytes())):
+                    for col, x in zip(cols, (bucket[a], sid, len(keys), short[a:b].tobytes())):
                         col.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[1:4]), pa.array(cols[4], pa.binary())], ["bucket", "id", "size", "sig", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[1:3]), pa.array(cols[3], pa.binary())], ["bucket", "sid", "size", "keys"])
 
-    return docs.mapInArrow(run, "bucket int, id bigint, size bigint, sig bigint, keys binary")
+    return docs.mapInArrow(run, "bucket int, sid bigint, size bigint, keys binary")
 
 
-def _count_pairs(keys: np.ndarray, owner: np.ndarray, n: int):
-    """(i, j, how many keys they have in common) of all i < j of n owners with a key in common; owner ascends.
+def _count_pairs(keys: np.ndarray, owner: np.ndarray, group: np.ndarray, n: int):
+    """(i, j, how many keys they have in common) of all i < j of n owners of different groups with a key in common; owner and group ascend.
 
     Comes in blocks of ascending i, each with all its pairs, so memory is that of a block however many pairs there are in all.
     """
@@ -161,11 +245,16 @@ def _count_pairs(keys: np.ndarray, owner: np.ndarray, n: int):
     del order, same, again
     if not len(keys):
         return
-    cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    new_key = np.concatenate([[True], keys[1:] != keys[:-1]])
+    cuts = np.flatnonzero(new_key)
     ends = np.concatenate([cuts[1:], [len(keys)]]).astype(np.int64)
-    # those that come after it among the owners of its key
-    later = np.repeat(ends, ends - cuts) - np.arange(len(keys)) - 1
-    del keys, cuts, ends
+    own_group = group[owner]
+    parts = np.flatnonzero(new_key | np.concatenate([[True], own_group[1:] != own_group[:-1]]))
+    part_ends = np.concatenate([parts[1:], [len(keys)]]).astype(np.int64)
+    # where the owners of its key that come after its group begin, and how many they are
+    begin = np.repeat(part_ends, part_ends - parts)
+    later = np.repeat(ends, ends - cuts) - begin
+    del keys, cuts, ends, own_group, parts, part_ends, new_key
     places = np.flatnonzero(later)
     places = places[np.argsort(owner[places], kind="stable")]
     work, of = np.cumsum(later[places]), owner[places]
@@ -178,70 +267,78 @@ def _count_pairs(keys: np.ndarray, owner: np.ndarray, n: int):
         own = places[at:end]
         times = later[own]
         first = np.repeat(np.cumsum(times) - times, times)
-        other = np.repeat(own, times) + 1 + np.arange(int(times.sum())) - first
+        other = np.repeat(begin[own], times) + np.arange(int(times.sum())) - first
         codes, counts = np.unique(np.repeat(of[at:end].astype(np.int64), times) * n + owner[other], return_counts=True)
         yield codes // n, codes % n, counts
         at = end
 
 
 def _candidates(spread: DataFrame, t: float, buckets: int) -> DataFrame:
-    """Documents of the regions (a is the pivot or a document by itself, b a document; least 0), and counts n of keys that a and b
-    share in a bucket, to be added up and held against least."""
+    """kind 0: region and a boundary set b of it; kind 1: region of lone sets and a set b of it; kind 2: sets a and b of different regions (a's, or
+    none if both are lone) with counts n of keys that they share in a bucket, to be added up and held against least."""
 
     def run(batches):
         parts = [b for b in batches if b.num_rows]
         if not parts:
             return
-        ids, size, sig = (np.concatenate([b.column(i).to_numpy() for b in parts]) for i in (1, 2, 3))
-        keys = np.concatenate([_binary(b.column(4)) for b in parts])
-        n_keys = np.concatenate([_lengths(b.column(4)) for b in parts]) // 8
+        sids, size = (np.concatenate([b.column(i).to_numpy() for b in parts]) for i in (1, 2))
+        lone = np.concatenate([b.column(4).is_null().to_numpy(zero_copy_only=False) for b in parts])
+        home = np.where(lone, sids, np.concatenate([b.column(4).fill_null(0).to_numpy() for b in parts]))
+        keys = np.concatenate([_binary(b.column(3), np.uint32) for b in parts])
+        n_keys = np.concatenate([_lengths(b.column(3)) for b in parts]) // 4
         starts = np.concatenate([[0], np.cumsum(n_keys)])
-        order = np.lexsort((ids, sig, size))
-        same = np.concatenate([[False], (np.diff(size[order]) == 0) & (np.diff(sig[order]) == 0)])
-        own = order[~same]  # of exact copies the lowest
-        own = own[np.argsort(ids[own], kind="stable")]
-        ids, size, n_keys = ids[own], size[own], n_keys[own]
-        n = len(ids)
+        own = np.unique(sids, return_index=True)[1]
+        own = own[np.lexsort((sids[own], home[own], lone[own]))]  # the lone ones last
+        sids, size, n_keys, lone, home = sids[own], size[own], n_keys[own], lone[own], home[own]
+        n = len(sids)
         at = np.repeat(starts[own] - np.concatenate([[0], np.cumsum(n_keys)[:-1]]), n_keys) + np.arange(n_keys.sum())
-        pivot, got = np.arange(n), []
-        pairs = _count_pairs(keys[at], np.repeat(np.arange(n, dtype=np.int32), n_keys), n)
-        del parts, keys, at, starts, order, same, own, sig
+        group = np.cumsum(np.concatenate([[True], lone[1:] | (home[1:] != home[:-1])]))
+        pivot, lones, others = np.arange(n), [], []
+        pairs = _count_pairs(keys[at], np.repeat(np.arange(n, dtype=np.int32), n_keys), group, n)
+        del parts, keys, at, starts, own
         for a, b, shared in pairs:
-            ok = (np.minimum(size[a], size[b]) >= t * np.maximum(size[a], size[b]) - 1e-9) & (ids[a] != ids[b])
+            ok = np.minimum(size[a], size[b]) >= t * np.maximum(size[a], size[b]) - TINY
             a, b, shared = a[ok], b[ok], shared[ok]
             least = _least_shared(size[a], size[b], t)
             strong = (shared * buckets >= least) & (shared >= STRONG)
             weak = (shared < STRONG) & (least < STRONG * buckets)
+            both = strong & lone[a]  # then b is lone too
             # a ascends from block to block: after its own block the pivot of a is final
-            np.minimum.at(pivot, b[strong], a[strong])
-            a_, b_ = a[strong], b[strong]
-            got.append(np.unique(np.concatenate([pivot[a_] * n + a_, pivot[a_] * n + b_])))
+            np.minimum.at(pivot, b[both], a[both])
+            lones.append(np.unique(np.concatenate([pivot[a[both]] * n + a[both], pivot[a[both]] * n + b[both]])))
+            some = strong & ~lone[a]
+            others.append(np.unique(np.searchsorted(group, group[a[some]]) * n + b[some]))
             if weak.any():
-                yield batch(ids[a[weak]], ids[b[weak]], shared[weak].astype(np.int32), least[weak].astype(np.int32))
-        regions = np.unique(np.concatenate(got)) if got else np.zeros(0, np.int64)
-        none = np.zeros(len(regions), np.int32)
-        yield batch(ids[regions // n], ids[regions % n], none, none)
+                a, b = a[weak], b[weak]
+                yield batch(2, pa.array(home[a], mask=lone[a]), sids[a], sids[b], shared[weak], least[weak])
+        for kind, got in ((0, others), (1, lones)):
+            got = np.unique(np.concatenate(got)) if got else np.zeros(0, np.int64)
+            none = np.zeros(len(got), np.int64)
+            yield batch(kind, pa.array(home[got // n]), none, sids[got % n], none, none)
 
-    def batch(*cols):
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["a", "b", "n", "least"])
+    def batch(kind, region, a, b, shared, least):
+        cols = [pa.array(np.full(len(a), kind, np.int8)), region, pa.array(a), pa.array(b), pa.array(shared.astype(np.int32)), pa.array(least.astype(np.int32))]
+        return pa.RecordBatch.from_arrays(cols, ["kind", "region", "a", "b", "n", "least"])
 
-    return spread.mapInArrow(run, "a bigint, b bigint, n int, least int")
+    return spread.mapInArrow(run, "kind tinyint, region bigint, a bigint, b bigint, n int, least int")
 
 
-def _regions(spread: DataFrame, t: float, buckets: int) -> DataFrame:
-    """(region, id): the documents of each region, pivot and boundary ones alike, each once."""
-    found = cut(_candidates(spread, t, buckets), "jaccard-candidates")
-    pairs = found.where("least > 0").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("least").alias("least")).where("n >= least").select("a", "b")
-    pivots = pairs.groupBy(F.col("b").alias("a")).agg(F.min("a").alias("pivot"))
-    placed = pairs.join(pivots, "a", "left").select(F.coalesce("pivot", "a").alias("region"), "a", "b")
-    summed = placed.select("region", F.explode(F.array("a", "b")).alias("id"))
-    return found.where("least = 0").select(F.col("a").alias("region"), F.col("b").alias("id")).unionByName(summed).distinct()
+def _regions(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(region, sid) of boundary sets, and of the sets of regions of lone ones; each once."""
+    pairs = found.where("kind = 2").groupBy("region", "a", "b").agg(F.sum("n").alias("n"), F.min("least").alias("least")).where("n >= least")
+    pairs = cut(pairs.select("region", "a", "b"), "jaccard-weak")
+    across = found.where("kind = 0").select("region", F.col("b").alias("sid")).unionByName(pairs.where("region IS NOT NULL").select("region", F.col("b").alias("sid")))
+    single = pairs.where("region IS NULL").select("a", "b")
+    lowest = single.groupBy(F.col("b").alias("a")).agg(F.min("a").alias("pivot"))
+    placed = single.join(lowest, "a", "left").select(F.coalesce("pivot", "a").alias("region"), "a", "b")
+    summed = placed.select("region", F.explode(F.array("a", "b")).alias("sid"))
+    return across.distinct(), found.where("kind = 1").select("region", F.col("b").alias("sid")).unionByName(summed).distinct()
 
 
-def _binary(col: pa.Array) -> np.ndarray:
+def _binary(col: pa.Array, kind=np.uint64) -> np.ndarray:
     _, off, data = col.buffers()
     off = np.frombuffer(off, np.int32)[col.offset : col.offset + len(col) + 1]
-    return np.frombuffer(data, np.uint8)[off[0] : off[-1]].view(np.uint64)
+    return np.frombuffer(data, np.uint8)[off[0] : off[-1]].view(kind) if data is not None else np.zeros(0, kind)
 
 
 def _lengths(col: pa.Array) -> np.ndarray:
@@ -249,103 +346,72 @@ def _lengths(col: pa.Array) -> np.ndarray:
     return np.diff(np.frombuffer(off, np.int32)[col.offset : col.offset + len(col) + 1]).astype(np.int64)
 
 
-def _overlaps(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, common keys) for all i < j with keys in common."""
-    if len(sets) < 24:
-        i, j = np.triu_indices(len(sets), 1)
-        return i, j, np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i, j)], np.int64)
-    keys, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    _, column, times = np.unique(keys, return_inverse=True, return_counts=True)
-    shared = times[column] > 1
-    column, owner = column[shared], owner[shared]
-    order = np.argsort(column, kind="stable")
-    column, owner = column[order], owner[order]
-    total = np.zeros((len(sets), len(sets)), np.float32)
-    for lo in range(0, len(column), 1 << 20):  # a slice of keys; one that two slices share is counted in both parts
-        hi = min(len(column), lo + (1 << 20))
-        while hi < len(column) and column[hi] == column[hi - 1]:
-            hi += 1
-        start = lo
-        while start > 0 and start < hi and column[start] == column[start - 1]:
-            start += 1
-        if start >= hi:
-            continue
-        c, width = column[start:hi], 0
-        c = np.cumsum(np.concatenate([[0], np.diff(c) != 0]))
-        width = int(c[-1]) + 1
-        for w in range(0, width, 4096):
-            pick = (c >= w) & (c < w + 4096)
-            block = np.zeros((len(sets), min(4096, width - w)), np.float32)
-            block[owner[start:hi][pick], c[pick] - w] = 1
-            total += block @ block.T
-    i, j = np.nonzero(np.triu(total, 1))
-    return i, j, total[i, j].astype(np.int64)
-
-
-def region_join(sets: list[np.ndarray], t: float, region: int = REGION) -> dict[tuple[int, int], float]:
-    """{(i, j): Jaccard similarity} for all i < j with similarity of at least t."""
-    found: dict[tuple[int, int], float] = {}
-    size = np.array([len(s) for s in sets])
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many keys each set of left has in common with each of right."""
+    if len(left) == 1 or len(right) == 1:
+        one, many = (left[0], right) if len(left) == 1 else (right[0], left)
+        every = np.concatenate(many)
+        hit = np.zeros(len(every) + 1, np.int64)
+        if len(one):
+            np.cumsum(one[np.minimum(np.searchsorted(one, every), len(one) - 1)] == every, out=hit[1:])
+        ends = np.cumsum([len(s) for s in many])
+        counts = hit[ends] - hit[ends - [len(s) for s in many]]
+        return counts.reshape(1, -1) if len(left) == 1 else counts.reshape(-1, 1)
+    sides = []
+    for sets in (left, right):
+        sides.append((np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])))
+    shared = np.intersect1d(np.unique(sides[0][0]), np.unique(sides[1][0]), assume_unique=True)
+    total = np.zeros((len(left), len(right)))
+    if not len(shared):
+        return total.astype(np.int64)
+    placed = []
+    for keys, owner in sides:
+        at = np.minimum(np.searchsorted(shared, keys), len(shared) - 1)
+        on = shared[at] == keys
+        order = np.argsort(at[on], kind="stable")
+        placed.append((at[on][order], owner[on][order]))
+    for lo in range(0, len(shared), 4096):
+        blocks = []
+        for (at, owner), k in zip(placed, (len(left), len(right))):
+            a, b = np.searchsorted(at, [lo, lo + 4096])
+            block = np.zeros((k, min(4096, len(shared) - lo)), np.float32)
+            block[owner[a:b], at[a:b] - lo] = 1
+            blocks.append(block)
+        total += blocks[0] @ blocks[1].T
+    return np.rint(total).astype(np.int64)
+
+
+def _similarities(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    common = _common(left, right)
+    return common / (np.array([len(s) for s in left])[:, None] + np.array([len(s) for s in right])[None, :] - common)
+
+
+def _distances(one: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    return 1 - _similarities([one], sets)[0] if len(sets) else np.zeros(0)
+
+
+def window_join(left: list[np.ndarray], right: list[np.ndarray], to_left: np.ndarray, to_right: np.ndarray, t: float, at_once: int = AT_ONCE, depth: int = 8) -> np.ndarray:
+    """Which sets of left join which of right, given the distances of all to one pivot: decided by the windows as far as they go.
+
+    Where more than at_once pairs are left, the farthest set of left becomes a second pivot, and the sets of left nearer to it than to the first go on with it.
+    """
     eps = 1 - t
-
-    def distances(to: int, members: np.ndarray) -> np.ndarray:
-        common = np.array([len(np.intersect1d(sets[to], sets[m], assume_unique=True)) for m in members])
-        return 1 - common / (size[to] + size[members] - common)
-
-    def count(members: np.ndarray, others: np.ndarray | None = None) -> None:
-        both = members if others is None else np.union1d(members, others)
-        i, j, common = _overlaps([sets[m] for m in both])
-        sim = common / (size[both[i]] + size[both[j]] - common)
-        for a, b, s in zip(both[i[sim >= t]], both[j[sim >= t]], sim[sim >= t]):
-            found[min(a, b), max(a, b)] = float(s)
-
-    def split(members: np.ndarray) -> None:
-        if len(members) <= region:
-            return count(members)
-        p = int(members[np.argmax(distances(int(members[0]), members))])
-        to_p = distances(p, members)
-        q = int(members[np.argmax(to_p)])
-        difference = to_p - distances(q, members)
-        near_p, near_q = members[difference <= 2 * eps + 1e-9], members[difference >= -2 * eps - 1e-9]
-        if max(len(near_p), len(near_q)) <= 0.8 * len(members):
-            split(near_p)
-            split(near_q)
-            return None
-        # the pivots don't split it: blocks in order of size, against those whose sizes are within the threshold
-        members = members[np.argsort(size[members], kind="stable")]
-        blocks = [members[k : k + region // 2] for k in range(0, len(members), region // 2)]
-        for k, a in enumerate(blocks):
-            for b in blocks[k:]:
-                if size[a[-1]] < t * size[b[0]] - 1e-9:
-                    break
-                count(a, b)
-        return None
-
-    split(np.arange(len(sets)))
-    return found
-
-
-def _joined(members: DataFrame, t: float, forest: bool) -> DataFrame:
-    """The pairs of each region, each pair in the lowest region that has both; with forest, only pairs that link each component."""
-
-    def run(batches):
-        for region, ids, regions, sets in _by_region(batches):
-            rows = []
-            links = _Links() if forest else None
-            for (i, j), s in sorted(region_join(sets, t).items()):
-                a, b = sorted((ids[i], ids[j]))
-                if a == b:
-                    continue
-                if forest:
-                    if links.join(a, b):
-                        rows.append((a, b, s))
-                elif min(regions[i] & regions[j]) == region:
-                    rows.append((a, b, s))
-            if rows:
-                a, b, s = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], ["a", "b", "jaccard"])
-
-    return members.mapInArrow(run, "a bigint, b bigint, jaccard double")
+    joined = to_left[:, None] + to_right[None, :] <= eps - TINY
+    unsure = ~joined & (np.abs(to_left[:, None] - to_right[None, :]) <= eps + TINY)
+    rows, cols = np.flatnonzero(unsure.any(1)), np.flatnonzero(unsure.any(0))
+    if not len(rows):
+        return joined
+    part_l, part_r, dl, dr = [left[i] for i in rows], [right[j] for j in cols], to_left[rows], to_right[cols]
+    if len(rows) * len(cols) > at_once and depth:
+        far = part_l[int(np.argmax(dl))]
+        new_l, new_r = _distances(far, part_l), _distances(far, part_r)
+        near = new_l < dl
+        if near.any() and not near.all():
+            for own, a, b in ((np.flatnonzero(near), new_l, new_r), (np.flatnonzero(~near), dl, dr)):
+                joined[np.ix_(rows[own], cols)] |= window_join([part_l[i] for i in own], part_r, a[own], b, t, at_once, depth - 1)
+            return joined
+    joined[np.ix_(rows, cols)] |= _similarities(part_l, part_r) >= t
+    return joined
 
 
 class _Links:
@@ -364,53 +430,147 @@ class _Links:
         return a != b
 
 
-def _by_region(batches):
-    """(region, ids, their regions, their sets) of rows that come sorted by region."""
-    now, ids, regions, sets = None, [], [], []
+def _cells(docs: DataFrame, reps: DataFrame, homes: DataFrame | None, across: DataFrame, lone: DataFrame, n: int) -> DataFrame:
+    """Rows (kind, region, i, j, side, sid, n, regions, keys) of all cells, those of a cell together in one partition."""
+    sized = reps.select("sid", "size")
+    pieces = lambda: F.ceil(F.greatest(F.count("*") / CELL_SETS, F.sum("size") / CELL_KEYS)).cast("int")
+    spot = lambda kind, side, mine, others: F.struct(F.lit(kind).alias("kind"), "region", side.alias("side"), F.col(mine).alias("mine"), F.col(others).alias("others"))
+    in_lone = lone.join(sized, "sid").groupBy("region").agg(pieces().alias("mine"))
+    spots = lone.join(in_lone, "region").select("sid", spot(1, F.lit(0), "mine", "mine").alias("tag"))
+    if homes is not None:
+        met = across.join(sized, "sid").groupBy("region").agg(pieces().alias("theirs"))
+        members = homes.select("sid", F.col("home").alias("region")).join(met, "region")
+        sizes = cut(members.join(sized, "sid").groupBy("region", "theirs").agg(pieces().alias("ours")), "jaccard-sizes")
+        side = F.when(F.col("sid") == F.col("region"), 2).otherwise(0)
+        spots = spots.unionByName(members.drop("theirs").join(sizes, "region").select("sid", spot(0, side, "ours", "theirs").alias("tag")))
+        spots = spots.unionByName(across.join(sizes, "region").select("sid", spot(0, F.lit(1), "theirs", "ours").alias("tag")))
+    wanted = spots.groupBy("sid").agg(F.collect_list("tag").alias("spots")).join(reps.select("sid", "id", "n"), "sid")
+    wanted = cut(wanted.select("id", "sid", F.struct("n", "spots").alias("tags")), "jaccard-wanted")
+    whole = _sets_of(docs, wanted, n)
+    regions = F.transform(F.filter("tags.spots", lambda s: s["kind"] == 1), lambda s: s["region"])
+    one = whole.select("sid", F.col("tags.n").alias("n"), regions.alias("regions"), "keys", F.explode("tags.spots").alias("s"))
+    one = one.select("sid", "n", F.when(F.col("s.kind") == 1, F.col("regions")).alias("regions"), "keys", "s.*").withColumn("c", F.pmod(F.xxhash64("sid"), F.col("mine")).cast("int"))
+    c, side = F.col("c"), F.col("side")
+    up = lambda k: F.sequence(F.lit(0), F.col(k) - 1)
+    at = lambda i, j, s: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), s.cast("int").alias("side"))
+    every = (
+        F.when(F.col("kind") == 1, F.transform(up("mine"), lambda k: at(F.least(c, k), F.greatest(c, k), F.when(k >= c, 0).otherwise(1))))
+        .when(side == 0, F.transform(up("others"), lambda k: at(c, k, side)))
+        .when(side == 1, F.transform(up("others"), lambda k: at(k, c, side)))
+        .otherwise(F.flatten(F.transform(up("mine"), lambda i: F.transform(up("others"), lambda j: at(i, j, F.lit(2))))))
+    )
+    placed = one.select("kind", "region", F.explode(every).alias("at"), "sid", "n", "regions", "keys").select("kind", "region", "at.i", "at.j", "at.side", "sid", "n", "regions", "keys")
+    return placed.repartition("kind", "region", "i", "j").sortWithinPartitions("kind", "region", "i", "j", "side", "sid")
+
+
+def _cell_groups(batches):
+    """((kind, region, i, j), {side: (sids, copies, regions, sets)}) of rows that come sorted; a set that comes twice counts once."""
+    now, sides, last = None, {}, None
     for batch in batches:
-        data, ends = _binary(batch.column(3)) if batch.num_rows else None, np.cumsum(_lengths(batch.column(3)) // 8)
-        for k, (r, i, rs) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-            if r != now:
-                if len(ids) > 1:
-                    yield now, ids, regions, sets
-                now, ids, regions, sets = r, [], [], []
-            ids.append(i)
-            regions.append(set(rs))
-            sets.append(data[(ends[k - 1] if k else 0) : ends[k]].copy())
-    if len(ids) > 1:
-        yield now, ids, regions, sets
-
-
-def _join(df: DataFrame, key: str, text: str, n: int, t: float, forest: bool) -> tuple[DataFrame, DataFrame]:
-    """(a, b, jaccard) among the lowest of exact copies, and (rep, id) of all documents with words."""
+        data, ends = _binary(batch.column(8)), np.cumsum(_lengths(batch.column(8)) // 8)
+        for k, (*cell, side, sid, n, regions) in enumerate(zip(*(batch.column(x).to_pylist() for x in range(8)))):
+            if cell != now:
+                if sides:
+                    yield now, sides
+                now, sides, last = cell, {}, None
+            if (side, sid) == last:
+                continue
+            last = (side, sid)
+            for col, x in zip(sides.setdefault(side, ([], [], [], [])), (sid, n, set(regions or ()), data[(ends[k - 1] if k else 0) : ends[k]].copy())):
+                col.append(x)
+    if sides:
+        yield now, sides
+
+
+_NOBODY: tuple[list, list, list, list] = ([], [], [], [])
+
+
+def _lone_pairs(cell, sides, t: float):
+    """(sid, copies) of both and the similarity of each pair of a cell of lone sets that belongs to this region: the lowest one that has both."""
+    _, region, i, j = cell
+    left, right = sides.get(0, _NOBODY), sides.get(1, _NOBODY) if i != j else None
+    others = left if right is None else right
+    if not left[0] or not others[0]:
+        return
+    for lo in range(0, len(left[0]), CELL_SETS):
+        sim = _similarities(left[3][lo : lo + CELL_SETS], others[3])
+        for a, b in zip(*np.nonzero(sim >= t)):
+            a_ = int(a) + lo
+            if (right is not None or a_ < b) and min(left[2][a_] & others[2][b]) == region:
+                yield left[0][a_], left[1][a_], others[0][b], others[1][b], float(sim[a, b])
+
+
+def _pairs_in(cells: DataFrame, t: float) -> DataFrame:
+    """(a, b, jaccard) of all joined pairs of sets, each once; no set may have a home."""
+
+    def run(batches):
+        for cell, sides in _cell_groups(batches):
+            rows = [(min(a, b), max(a, b), s) for a, _, b, _, s in _lone_pairs(cell, sides, t)]
+            if rows:
+                a, b, s = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], ["a", "b", "jaccard"])
+
+    return cells.mapInArrow(run, "a bigint, b bigint, jaccard double")
+
+
+def _links_in(cells: DataFrame, t: float) -> DataFrame:
+    """(a, null, links): how many documents of other regions, or lone ones, a joins, in parts; (a, b, 0): edges that connect what the cell's pairs connect."""
+
+    def run(batches):
+        for (kind, *cell), sides in _cell_groups(batches):
+            links: dict[int, int] = {}
+            edges = []
+            if kind == 1:
+                forest = _Links()
+                for a, na, b, nb, _ in _lone_pairs((kind, *cell), sides, t):
+                    links[a], links[b] = links.get(a, 0) + nb, links.get(b, 0) + na
+                    if forest.join(a, b):
+                        edges.append((a, b))
+            elif 1 in sides and 2 in sides:
+                (pivot,), middle = sides[2][0], sides[2][3][0]
+                ours, theirs = sides.get(0, _NOBODY), sides[1]
+                # the pivot is a member too, of one cell in each row of cells
+                lead = cell[1] == 0
+                members = ([pivot] * lead + ours[0], sides[2][1] * lead + ours[1], [middle] * lead + ours[3])
+                if members[0]:
+                    to_pivot = _distances(middle, members[2])
+                    ys = _distances(middle, theirs[3])
+                    keep = np.flatnonzero(ys <= to_pivot.max() + 1 - t + TINY)
+                    for lo in range(0, len(keep), CELL_SETS):
+                        part = keep[lo : lo + CELL_SETS]
+                        joined = window_join(members[2], [theirs[3][k] for k in part], to_pivot, ys[part], t)
+                        for k, x in zip(joined @ np.array([theirs[1][k] for k in part]), members[0]):
+                            if k:
+                                links[x] = links.get(x, 0) + int(k)
+                        for k, y in zip(np.array(members[1]) @ joined, part):
+                            if k:
+                                links[theirs[0][y]] = links.get(theirs[0][y], 0) + int(k)
+                                edges.append((pivot, theirs[0][y]))
+            a = [*links, *(e[0] for e in edges)]
+            if a:
+                b = [None] * len(links) + [e[1] for e in edges]
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([*links.values(), *(0 for _ in edges)], pa.int64())], ["a", "b", "links"])
+
+    return cells.mapInArrow(run, "a bigint, b bigint, links bigint")
+
+
+def _prepare(df: DataFrame, key: str, text: str, n: int, t: float, regions: bool) -> dict[str, DataFrame | None]:
+    """docs(id, text), copies(sid, id), reps(sid, id, n, size, sketches), homes(sid, home), across and lone (region, sid)."""
     spark = df.sparkSession
     docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     survey = cut(_survey(docs, n), "jaccard-survey")
     total = survey.where("kind = 0").agg(F.sum("size")).first()[0] or 0
     frequent = survey.where("kind = 1").groupBy("id").agg(F.sum("size").alias("times")).orderBy(F.desc("times"), "id").limit(HOT_KEYS).select("id").toArrow()
     hot = spark.sparkContext.broadcast(np.sort(frequent["id"].to_numpy().view(np.uint64)))
+    copies = cut(survey.where("kind = 0").groupBy("sid", "id").agg(F.first("size").alias("size"), F.first("sketches").alias("sketches")), "jaccard-copies")
+    reps = cut(copies.groupBy("sid").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("sketches").alias("sketches")), "jaccard-sets")
+    homes = cut(_homes(docs, reps, n, t), "jaccard-homes") if regions else None
     buckets = max(8, math.ceil(total * (1 - t) / BUCKET_KEYS))
-    spread = _spread(docs, hot, n, t, buckets).repartitionById(buckets, "bucket")
-    regions = cut(_regions(spread, t, buckets), "jaccard-regions")
-    of_doc = regions.groupBy(F.col("id").alias("__id")).agg(F.collect_set("region").alias("regions"))
-    if of_doc.count() <= BROADCAST_DOCS:
-        of_doc = F.broadcast(of_doc)
-    wanted = docs.join(of_doc, F.col("id") == F.col("__id")).select("id", "text", "regions")
-
-    def sets(batches):
-        hasher = WordHasher()
-        for batch in batches:
-            rows, out = [], []
-            for i, keys in _sets(batch, hasher, n):
-                rows.append(i)
-                out.append(keys.tobytes())
-            at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(out, pa.binary())], ["id", "regions", "keys"])
-
-    whole = wanted.mapInArrow(sets, "id bigint, regions array<bigint>, keys binary")
-    members = whole.select(F.explode("regions").alias("region"), "id", "regions", "keys").repartition("region").sortWithinPartitions("region", "id")
-    copies = survey.where("kind = 0").select(F.min("id").over(W.partitionBy("sig", "size")).alias("rep"), "id").distinct()
-    return _joined(members, t, forest), copies
+    spread = _spread(docs, hot, n, t, buckets)
+    spread = spread.withColumn("home", F.lit(None).cast("long")) if homes is None else spread.join(_small(homes), "sid", "left")
+    spread = spread.select("bucket", "sid", "size", "keys", "home").repartitionById(buckets, "bucket")
+    across, lone = _regions(cut(_candidates(spread, t, buckets), "jaccard-candidates"))
+    return {"docs": docs, "copies": copies.select("sid", "id"), "reps": reps, "homes": homes, "across": cut(across, "jaccard-across"), "lone": cut(lone, "jaccard-lone")}
 
 
 def similar_pairs(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = GRAM, threshold: float = THRESHOLD) -> DataFrame:
@@ -418,20 +578,26 @@ def similar_pairs(df: DataFrame, key: str = "doc_id", text: str = "text", n: int
 
     A document is the set of its word n-grams: words are runs of a-z, 0-9 and characters beyond ASCII, in lower case; a text of
     fewer than n words is one gram. Texts that are null or without words join nothing, and rows with a null key are left out. The
-    key must be a whole number. Repeated rows are one document; of rows that share a key but not the text each is compared, the pair
-    counts once with its highest similarity, and none is compared with itself. An empty table gives no pairs; other columns are ignored.
+    key must be a whole number. Repeated rows are one document; of rows that share a key but not the text each is compared by itself, a pair of keys
+    counts once with its highest similarity, and no key pairs with itself. An empty table gives no pairs; other columns are ignored.
+
+    Spells out all pairs, so its rows grow with the square of a group; classes() does not.
     """
-    pairs, copies = _join(df, key, text, n, threshold, False)
-    pairs, copies = cut(pairs, "jaccard-pairs"), cut(copies, "jaccard-copies")
-    left, right = copies.select(F.col("rep").alias("a"), F.col("id").alias("x")), copies.select(F.col("rep").alias("b"), F.col("id").alias("y"))
+    p = _prepare(df, key, text, n, threshold, False)
+    pairs = cut(_pairs_in(_cells(p["docs"], p["reps"], None, p["across"], p["lone"], n), threshold), "jaccard-pairs")
+    left, right = p["copies"].select(F.col("sid").alias("a"), F.col("id").alias("x")), p["copies"].select(F.col("sid").alias("b"), F.col("id").alias("y"))
     across = pairs.join(left, "a").join(right, "b").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard").where("doc_a < doc_b")
     within = left.join(right, F.col("a") == F.col("b")).where("x < y").select(F.col("x").alias("doc_a"), F.col("y").alias("doc_b"), F.lit(1.0).alias("jaccard"))
     return across.unionByName(within).groupBy("doc_a", "doc_b").agg(F.round(F.max("jaccard"), 6).alias("jaccard"))
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, root): the lowest id of the component of each id in edges (a, b); by alternating large and small stars."""
-    now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "stars")
+    """(id, root): the lowest id of the component of each id in edges (a, b); by alternating large and small stars.
+
+    Null ends and loops are left out, repeated edges count once, an empty table has no components. Lowest neighbours come from an aggregation that is joined
+    back, so that the neighbours of one id need not meet in one task.
+    """
+    now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v AND a IS NOT NULL AND b IS NOT NULL").distinct(), "stars")
     state = None
     while True:
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -439,43 +605,84 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("id"), F.col("v").alias("root"))
         state = seen
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = F.least("u", F.min("v").over(W.partitionBy("u")))
-        large = both.select("u", "v", low.alias("m")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        starred = large.select("u", "v", F.min("v").over(W.partitionBy("u")).alias("m"))
-        small = starred.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(starred.select("u", F.col("m").alias("v"))).distinct()
+        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        large = cut(large, "stars")
+        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+        starred = large.join(lowest, "u")
+        small = starred.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lowest.select("u", F.col("m").alias("v"))).distinct()
         now = cut(small, "stars")
 
 
-def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = GRAM, threshold: float = THRESHOLD) -> DataFrame:
-    """(id, root) of each document that is not the lowest of its group; groups are the components of similar_pairs()."""
-    links, copies = _join(df, key, text, n, threshold, True)
-    links, copies = cut(links, "jaccard-links"), cut(copies, "jaccard-copies")
-    edges = links.select("a", "b").unionByName(copies.where("rep < id").select(F.col("rep").alias("a"), F.col("id").alias("b")))
-    return components(edges)
+def _classes(df: DataFrame, key: str, text: str, n: int, t: float) -> DataFrame:
+    """(id, sid, root, n_links) of each document with a link; a class is that of its root."""
+    p = _prepare(df, key, text, n, t, True)
+    found = cut(_links_in(_cells(p["docs"], p["reps"], p["homes"], p["across"], p["lone"], n), t), "jaccard-links")
+    homes, reps = p["homes"], p["reps"].select("sid", "n")
+    # two sets of a region join
+    total = homes.join(reps, "sid").groupBy("home").agg(F.sum("n").alias("total"))
+    within = homes.join(total, "home").join(reps, "sid").select("sid", (F.col("total") - F.col("n")).alias("links"))
+    counted = found.where("b IS NULL").select(F.col("a").alias("sid"), "links").unionByName(within).groupBy("sid").agg(F.sum("links").alias("links"))
+    linked = reps.join(counted, "sid", "left").select("sid", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")).where("n_links > 0")
+    # a region is one vertex
+    to = homes.select(F.col("sid").alias("b"), F.col("home").alias("__home"))
+    edges = found.where("b IS NOT NULL").select("a", "b").join(to, "b", "left").select("a", F.coalesce("__home", "b").alias("b"))
+    roots = components(edges)
+    placed = linked.join(homes, "sid", "left").withColumn("v", F.coalesce("home", "sid")).join(roots.select(F.col("id").alias("v"), "root"), "v", "left")
+    return cut(placed.select("sid", F.coalesce("root", "v").alias("root"), "n_links").join(p["copies"], "sid").select("id", "sid", "root", "n_links"), "jaccard-classes")
+
+
+def classes(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = GRAM, threshold: float = THRESHOLD) -> DataFrame:
+    """(key, class_id, n_links): one row for each document that joins another one, as similar_pairs() has it: its class, by the lowest key in it, and
+    how many documents it joins. Classes are the components of the pairs. A document without a row is a class by itself and has no links.
+
+    Every link counts, those to exact copies too; pairs are not spelled out, so rows grow with the documents. Documents as in similar_pairs(): null or wordless
+    texts and null keys have no row; repeated rows are one document; of rows that share a key but not the text each is a document by itself, the rows of a key
+    and class are added up, and classes of one lowest key have one name. An empty table gives no rows; other columns are ignored.
+    """
+    got = _classes(df, key, text, n, threshold)
+    lowest = got.groupBy("root").agg(F.min("id").alias("class_id"))
+    return got.join(lowest, "root").groupBy(F.col("id").alias(key), "class_id").agg(F.sum("n_links").alias("n_links"))
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = GRAM, threshold: float = THRESHOLD) -> DataFrame:
-    """df with one document of each group of near copies, the one of the lowest key; columns stay as they are.
+    """df with one document of each class of near copies, the one of the lowest key; columns stay as they are.
 
-    Rows with a null key, and texts that are null or without words, stay. Of repeated rows (equal key and text) one stays.
+    Rows with a null key, and texts that are null or without words, stay. Of repeated rows (equal key and text) one stays; of rows that share a
+    key but not the text each stays or goes by its own text.
     """
-    gone = near_copies(df, key, text, n, threshold).select(F.col("id").alias("__gone"))
-    twice = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__twice")).count().where("count > 1").select("__twice")
-    kept = df.join(gone, F.col(key).cast("long") == F.col("__gone"), "left_anti")
+    got = _classes(df, key, text, n, threshold)
+    stays = got.groupBy("root").agg(F.min(F.struct("id", "sid")).alias("first"))
+    gone = cut(got.join(stays, "root").where("first.id <> id OR first.sid <> sid").select(F.col("id").alias("__gone"), F.col("sid").alias("__gone_sid")), "jaccard-gone")
+    twice = cut(df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__twice")).count().where("count > 1").select("__twice"), "jaccard-twice")
+    kept = df.join(gone.join(twice, F.col("__gone") == F.col("__twice").cast("long"), "left_anti"), F.col(key).cast("long") == F.col("__gone"), "left_anti")
     single = kept.join(twice, F.col(key) == F.col("__twice"), "left_anti")
-    return single.unionByName(kept.join(twice, F.col(key) == F.col("__twice"), "left_semi").dropDuplicates([key, text]))
+    several = kept.join(twice, F.col(key) == F.col("__twice"), "left_semi").dropDuplicates([key, text])
+
+    @F.arrow_udf("bigint")
+    def sid_of(texts: pa.Array) -> pa.Array:
+        out: list = [None] * len(texts)
+        for i, keys in _sets(pa.RecordBatch.from_arrays([texts], ["t"]), WordHasher(), n, 0):
+            out[i] = _sid(keys)
+        return pa.array(out, pa.int64())
+
+    several = several.withColumn("__sid", sid_of(F.col(text)))
+    several = several.join(gone, (F.col(key).cast("long") == F.col("__gone")) & (F.col("__sid") == F.col("__gone_sid")), "left_anti").drop("__sid")
+    return single.unionByName(several)
 
 
 def query(spark, sf_dir):
-    return similar_pairs(table(spark, sf_dir, "documents"))
+    return classes(table(spark, sf_dir, "documents"))
 
 
 SQL = f"""
-WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9\\x{{80}}-\\x{{10FFFF}}]+'), lambda x: x <> '') AS w FROM documents),
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9\\x{{80}}-\\x{{10FFFF}}]+'), lambda x: x <> '') AS w FROM documents),
 g AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) < {GRAM} THEN [array_to_string(w, ' ')]
         ELSE list_transform(range(1, len(w) - {GRAM} + 2), lambda i: array_to_string(w[i:i + {GRAM - 1}], ' ')) END)) AS gram FROM w WHERE len(w) > 0),
 n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
-o AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS common FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL)
-SELECT doc_a, doc_b, round(common / (x.n + y.n - common)::DOUBLE, 6) AS jaccard FROM o JOIN n x ON x.doc_id = doc_a JOIN n y ON y.doc_id = doc_b
-WHERE common / (x.n + y.n - common)::DOUBLE >= {THRESHOLD}
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY ALL),
+p AS MATERIALIZED (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE common / (x.n + y.n - common)::DOUBLE >= {THRESHOLD}),
+r AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM r JOIN p ON p.a = r.b),
+c AS (SELECT a, least(a, min(b)) AS class_id FROM r GROUP BY a)
+SELECT p.a AS doc_id, class_id, count(*) AS n_links FROM p JOIN c ON c.a = p.a GROUP BY ALL
 """
