@@ -52,6 +52,14 @@ def test_render(spark):
     assert chat.render(chat.fold(df.limit(0))).count() == 0
 
 
+def test_render_nulls(spark):
+    rows = [(1, 0, None, "there", 9), (1, 1, "user", None, 9), (1, 2, "user", "again", 9), (1, 2, "user", "again", 9), (1, None, "user", "first", 9), (None, 0, None, None, 9)]
+    df = spark.createDataFrame(rows, "conv_id long, message_id long, role string, text string, n_messages int")
+    got = {r.conv_id: (r.n_messages, r.rendered) for r in chat.render(df, style=chat.PLAIN).collect()}
+    assert got == {1: (5, "user: first\n\nunknown: there\n\nuser: \n\nuser: again\n\nuser: again\n\n"), None: (1, "unknown: \n\n")}
+    assert chat.render(df.limit(0)).count() == 0
+
+
 def test_no_python_and_one_exchange(spark, sf_dir):
     plan = chat.query(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and plan.count("Exchange hashpartitioning") == 1

@@ -64,10 +64,12 @@ def _escaped(text: Column, style: tuple[str, str, str]) -> Column:
 def render(messages: DataFrame, conv: str = "conv_id", message: str = "message_id", style: tuple[str, str, str] = CHATML) -> DataFrame:
     """(conv, n_messages, rendered): each conversation's messages in the order of their ids, in the given style.
 
-    Markers that a text or role contains are made harmless. Messages of one id go by role, then by text.
+    Markers that a text or role contains are made harmless. Messages of one id go by role, then by text; equal ones each count. A null role is
+    "unknown", a null text empty, so every message is rendered; a null message id comes first, and messages without a conversation are one of their own.
+    An empty table gives no rows; other columns are ignored.
     """
     opened, between, closed = style
-    one = F.struct(F.col(message).alias("m"), F.col("role").alias("r"), F.col("text").alias("t"))
+    one = F.struct(F.col(message).alias("m"), F.coalesce("role", F.lit("unknown")).alias("r"), F.coalesce("text", F.lit("")).alias("t"))
     parts = F.transform(F.array_sort(F.collect_list(one)), lambda x: F.concat(F.lit(opened), _escaped(x["r"], style), F.lit(between), _escaped(x["t"], style), F.lit(closed)))
     return messages.groupBy(conv).agg(F.count("*").alias("n_messages"), F.array_join(parts, "").alias("rendered"))
 
