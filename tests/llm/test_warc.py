@@ -13,7 +13,8 @@ def arc(version, items, tail=b"\n"):
     """Records as (line without length, block); returns the parts, the version block first."""
     fields = warc.FIELDS_V1 if version == 1 else warc.FIELDS_V2
     body = f"{version} 0 me\n{fields}\n\n<xml/>".encode()
-    out = [f"filedesc://f.arc 0.0.0.0 20010203040506 text/plain {len(body)}\n".encode() + body + tail]
+    said = "" if version == 1 else "200 - - 0 f.arc "
+    out = [f"filedesc://f.arc 0.0.0.0 20010203040506 text/plain {said}{len(body)}\n".encode() + body + tail]
     return out + [f"{line} {len(block)}\n".encode() + block + tail for line, block in items]
 
 
@@ -40,6 +41,25 @@ def test_versions_and_gzip():
     assert warc.convert("n", b"".join(arc(1, v1)))[4]["warc_date"] == "2001-02-03T04:05:00Z"
 
 
+def test_version_block_lines():
+    for version in (1, 2):
+        first = warc.convert("n", arc(version, [])[0])[0]
+        assert (first["target_uri"], first["warc_date"], first["error"], first["arc_version"], first["http_status"]) == ("f.arc", "2001-02-03T04:05:06Z", None, version, None)
+    five = arc(2, [])[0].replace(b"200 - - 0 f.arc ", b"")
+    assert warc.convert("n", five)[0]["arc_version"] == 2 and warc.convert("n", five)[0]["error"] is None
+    # a record with a bad date takes the archive's
+    parts = arc(2, [("http://a/ 1.2.3.4 soon text/html 200 - - 9 f.arc", b"x")])
+    assert warc.convert("n", b"".join(parts))[1]["warc_date"] == "2001-02-03T04:05:06Z"
+
+
+def test_sent_in_pieces(spark, monkeypatch):
+    parts = arc(1, [(f"http://a/{k} 1.2.3.4 20010203040507 text/html", b"z" * 1000) for k in range(50)])
+    df = spark.createDataFrame([("a", b"".join(parts)), ("b", b"".join(parts))], "path string, content binary")
+    want = sorted((r.path, r.record_no, r.record_id) for r in warc.records(df).collect())
+    monkeypatch.setattr(warc, "SENT_BYTES", 1500)
+    assert sorted((r.path, r.record_no, r.record_id) for r in warc.records(df).collect()) == want and len(want) == 102
+
+
 def test_bad_input():
     cut = b"".join(arc(1, [("http://a/ 1.2.3.4 20010203040507 text/html", b"0123456789")]))[:-5]
     last = warc.convert("n", cut)[-1]

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from trawl.llm.common import table
 
 SOFTWARE = "trawl"
+#: Bytes of blocks after which records are sent on.
+SENT_BYTES = 1 << 26
 FIELDS_V1 = "URL IP-address Archive-date Content-type Archive-length"
 FIELDS_V2 = "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"
 _SCHEMA = [
@@ -70,8 +72,10 @@ def convert(name: str, data: bytes) -> list[dict]:
         line = data[at : end if end >= 0 else len(data)].rstrip(b"\r").decode("utf-8", "replace")
         fields = line.split(" ")
         is_head = line.startswith("filedesc:")
-        # what follows the URL is counted from the right: URLs may hold spaces
-        n = 4 if is_head or version == 1 else 9
+        if is_head:
+            version = 2 if end >= 0 and data[end + 1 : end + 3] == b"2 " else 1
+        # what follows the URL is counted from the right: URLs may hold spaces; version blocks of version 2 are met with both lines
+        n = 4 if version == 1 or (is_head and not (len(fields) > 9 and re.fullmatch(r"\d{4,}", fields[-8]))) else 9
         if end < 0 or len(fields) < n + 1 or not re.fullmatch(r"\d{1,18}", fields[-1]):
             error = error or f"bad header line at {at}"
             break
@@ -84,11 +88,10 @@ def convert(name: str, data: bytes) -> list[dict]:
         if is_head:
             head = block.split(b"\n", 2)
             first = head[0].decode("utf-8", "replace").split(" ")
-            version = 2 if first[0] == "2" else 1
             archive_date = date
             said = head[1].decode("utf-8", "replace").strip() if len(head) > 1 else ""
             block = f"software: {SOFTWARE}\r\nformat: WARC File Format 1.0\r\nconverted-from: ARC/{version}\r\norigin: {first[2] if len(first) > 2 else ''}\r\nfields: {said}\r\n".encode()
-            warc_type, kind, payload, url = "warcinfo", "application/warc-fields", None, url.removeprefix("filedesc://")
+            warc_type, kind, payload, url, result = "warcinfo", "application/warc-fields", None, url.removeprefix("filedesc://"), None
         elif url.startswith("dns:"):
             warc_type, kind, payload = "response", "text/dns", block
         elif block[:5] == b"HTTP/" and url.lower().startswith(("http:", "https:")):
@@ -129,8 +132,8 @@ def convert(name: str, data: bytes) -> list[dict]:
 def records(archives: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
     """One row per WARC record of the ARC files in content (binary), with their key.
 
-    An ARC file starts with a version block, whose first number says how the URL lines after it are laid out: five fields in
-    version 1, ten in version 2. Each line declares the length of the block after it, to which the parser jumps; blank lines
+    An ARC file starts with a version block, whose first number says how URL lines are laid out, its own too: five fields in
+    version 1, ten in version 2 (a version block of version 2 under a line of five fields is read as well). Each line declares the length of the block after it, to which the parser jumps; blank lines
     between records are skipped. Files may be plain or gzip, with a member for each record. Without a version block the lines
     are taken as version 1.
 
@@ -146,15 +149,22 @@ def records(archives: DataFrame, key: str = "path", content: str = "content") ->
     own = archives.where(F.col(content).isNotNull()).select(F.col(key).alias("__key"), F.col(content).cast("binary").alias("__content"))
     kind = own.schema["__key"].dataType.simpleString()
 
+    def out(batch, at, rows):
+        cols = [batch.column(0).take(pa.array(at, pa.int64()))] + [pa.array([r.get(n) for r in rows], _ARROW[t]) for n, t in _SCHEMA]
+        return pa.RecordBatch.from_arrays(cols, [key, *(n for n, _ in _SCHEMA)])
+
     def run(batches):
         for batch in batches:
-            at, rows = [], []
+            at, rows, held = [], [], 0
             for i, (name, data) in enumerate(zip(batch.column(0).cast(pa.string()).to_pylist(), batch.column(1))):
-                found = convert(name or "", data.as_py())
-                at += [i] * len(found)
-                rows += found
-            cols = [batch.column(0).take(pa.array(at, pa.int64()))] + [pa.array([r.get(n) for r in rows], _ARROW[t]) for n, t in _SCHEMA]
-            yield pa.RecordBatch.from_arrays(cols, [key, *(n for n, _ in _SCHEMA)])
+                for r in convert(name or "", data.as_py()):
+                    at.append(i)
+                    rows.append(r)
+                    held += len(r.get("block") or b"")
+                    if held > SENT_BYTES:  # what is sent at once stays small
+                        yield out(batch, at, rows)
+                        at, rows, held = [], [], 0
+            yield out(batch, at, rows)
 
     return own.mapInArrow(run, ", ".join([f"`{key}` {kind}", *(f"{n} {t}" for n, t in _SCHEMA)]))
 
@@ -187,7 +197,8 @@ def arc_of_pages(pages: DataFrame) -> DataFrame:
         v2 = text(uri, " ", F.col("ip"), " ", F.col("d"), f" {mime} {status} - - 0 ", name, " ", size(body), "\n")
         return F.when(F.col("v2"), v2).otherwise(v1)
 
-    first = text("filedesc://", name, " 0.0.0.0 ", F.col("d"), " text/plain ", size(head), "\n", head, "\n")
+    said = F.when(F.col("v2"), text("200 - - 0 ", name, " ")).otherwise("")
+    first = text("filedesc://", name, " 0.0.0.0 ", F.col("d"), " text/plain ", said, size(head), "\n", head, "\n")
     second = text(line(text("dns:", F.col("host")), "text/dns", "001", dns), dns, "\n")
     third = text(line(F.col("u"), "text/html", "200", F.col("http")), F.col("http"), "\n")
     return own.select("page_id", text(first, second, third).cast("binary").alias("content"))
@@ -210,7 +221,7 @@ WITH p AS (SELECT page_id, coalesce(url, 'about:blank') AS u, regexp_extract(coa
 q AS (SELECT *, CASE v WHEN 2 THEN '2 0 {SOFTWARE}' || chr(10) || '{FIELDS_V2}' || chr(10) || chr(10) ELSE '1 0 {SOFTWARE}' || chr(10) || '{FIELDS_V1}' || chr(10) || chr(10) END AS head,
              d || chr(10) || host || '.' || chr(9) || '3600' || chr(9) || 'IN' || chr(9) || 'A' || chr(9) || ip || chr(10) AS dns,
              'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'Content-Length: ' || octet_length(encode(html)) || chr(13) || chr(10) || chr(13) || chr(10) || html AS http FROM p),
-r AS (SELECT *, 'filedesc://' || name || ' 0.0.0.0 ' || d || ' text/plain ' || octet_length(encode(head)) || chr(10) || head || chr(10) AS one,
+r AS (SELECT *, 'filedesc://' || name || ' 0.0.0.0 ' || d || ' text/plain ' || CASE v WHEN 2 THEN '200 - - 0 ' || name || ' ' ELSE '' END || octet_length(encode(head)) || chr(10) || head || chr(10) AS one,
              'dns:' || host || ' ' || ip || ' ' || d || ' text/dns ' || CASE v WHEN 2 THEN '001 - - 0 ' || name || ' ' ELSE '' END || octet_length(encode(dns)) || chr(10) || dns || chr(10) AS two FROM q),
 x AS (
   SELECT page_id, 0 AS record_no, v, 0 AS pos, 'warcinfo' AS warc_type, name AS uri, NULL AS ip, 'application/warc-fields' AS kind, d, NULL AS payload, NULL::INT AS status,
