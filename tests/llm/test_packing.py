@@ -67,6 +67,17 @@ def test_whole_table_is_packed(spark):
     assert packing.pack(df.limit(0)).count() == 0
 
 
+def test_hot_keys_are_spread(spark):
+    rows = [(None, "w " * 20)] * 1000 + [(7, "w " * 10)] * 500 + [(k, "w " * 9) for k in range(100, 300)] + [(k, None) for k in range(1000, 1500)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), length=100, group_tokens=1000).collect()
+    per = {}
+    for r in got:
+        if r.bin_id is not None:
+            per[r.bin_id >> 32] = per.get(r.bin_id >> 32, 0) + r.n_tokens
+    assert sum(per.values()) == 26_800 and len(got) == 2200 and max(per.values()) < 2200
+    assert sum(r.doc_id is None for r in got) == 1000 and sum(r.bin_id is None for r in got) == 500
+
+
 def test_query(spark, sf_dir):
     from trawl.llm.common import table
 

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from trawl.llm.common import cut, n_words, table
 
 LENGTH = 2048
-#: Tokens of a group; groups are packed apart, each leaves at most a few bins that are not full.
+#: Tokens of a group, about; groups are packed apart, each leaves at most a few bins that are not full.
 GROUP_TOKENS = 1 << 23
+#: Rows of one key that make up more than this share of a group are spread over the groups row by row.
+HOT_SHARE = 1 / 16
 
 
 def best_two_fit(sizes: list[int], length: int) -> list[list[int]]:
@@ -79,20 +81,30 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = L
     key is packed like any other; pieces of one size go by key as text, then by start, and rows that are equal in both
     are interchangeable. An empty table gives an empty table; other columns are ignored.
 
-    Groups are by hash of the key, their number in proportion to all tokens, so work and memory of a task stay the
-    same at any size. Only key and token count are shuffled.
+    Groups are by hash of the key, their number all tokens over group_tokens, so work and memory of a task stay the same at any size; with another
+    number of groups, or another group_tokens, other documents meet, so bins differ. Rows of a key that has many (null, or copies) are spread by
+    their place in the written table of sizes, and documents without words go to no group, so neither makes a group large.
+    Only key and token count are shuffled.
     """
-    sizes = cut(df.select(F.col(key).alias("__key"), n_words(F.col(text)).alias("__n")), "pack")
+    sizes = cut(df.select(F.col(key).alias("__key"), n_words(F.col(text)).alias("__n"), F.monotonically_increasing_id().alias("__row")), "pack")
     total = sizes.agg(F.sum("__n")).first()[0] or 0
     groups = max(1, -(-total // group_tokens))
-    grouped = sizes.select("__key", "__n", F.pmod(F.xxhash64("__key"), F.lit(groups)).alias("__group"))
     key_type = sizes.schema["__key"].dataType
+    full = sizes.where("__n > 0")
+    by_key, by_row = (F.pmod(F.xxhash64(*c), F.lit(groups)) for c in (["__key"], ["__key", "__row"]))
+    if groups > 1:
+        # no more keys than total / (group_tokens * HOT_SHARE) can be so large: 16 for each group
+        hot = full.groupBy(F.col("__key").alias("__hot")).agg(F.sum("__n").alias("__of")).where(F.col("__of") > group_tokens * HOT_SHARE).select("__hot", F.lit(True).alias("__is"))
+        full = full.join(hot, F.col("__key").eqNullSafe(F.col("__hot")), "left")
+        grouped = full.select("__key", "__n", F.when(F.col("__is"), by_row).otherwise(by_key).alias("__group"))
+    else:
+        grouped = full.select("__key", "__n", by_key.alias("__group"))
 
     def run(one: pa.Table) -> pa.Table:
         keys, ns, group = one["__key"], one["__n"].to_pylist(), one["__group"][0].as_py()
         names = keys.cast(pa.string()).to_pylist()
-        order = sorted((i for i, n in enumerate(ns) if n), key=lambda i: (names[i] is not None, names[i] or "", ns[i]))
-        rows: list[tuple[int | None, int | None, int, int, int]] = [(None, None, i, 0, 0) for i, n in enumerate(ns) if not n]
+        order = sorted(range(len(ns)), key=lambda i: (names[i] is not None, names[i] or "", ns[i]))
+        rows: list[tuple[int, int, int, int, int]] = []
         n_bins, rests = 0, []
         for i in order:
             for at in range(0, ns[i] - length + 1, length):
@@ -104,11 +116,13 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = L
             rows += [(n_bins, slot, *rests[j]) for slot, j in enumerate(b)]
             n_bins += 1
         b, slot, at, start, n = zip(*rows)
-        ids = pa.array([None if x is None else group << 32 | x for x in b], pa.int64())
+        ids = pa.array([group << 32 | x for x in b], pa.int64())
         return pa.table({"bin_id": ids, "slot": pa.array(slot, pa.int32()), key: keys.take(pa.array(at)), "start": pa.array(start, pa.int64()), "n_tokens": pa.array(n, pa.int64())})
 
     schema = f"bin_id bigint, slot int, `{key}` {key_type.simpleString()}, start bigint, n_tokens bigint"
-    return grouped.groupBy("__group").applyInArrow(run, schema)
+    packed = grouped.groupBy("__group").applyInArrow(run, schema)
+    none = sizes.where("__n = 0").select(F.lit(None).cast("long").alias("bin_id"), F.lit(None).cast("int").alias("slot"), F.col("__key").alias(key), F.lit(0).cast("long").alias("start"), "__n")
+    return packed.unionByName(none.withColumnRenamed("__n", "n_tokens"))
 
 
 def query(spark, sf_dir):
