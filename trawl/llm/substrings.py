@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,8 @@ MIN_WORDS = 50
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 #: Hashes that one task holds.
 BUCKET_HASHES = 1 << 22
+#: Hashes that are sorted out at once before the shuffle.
+CHUNK_HASHES = 1 << 20
 
 
 def _windows(words: np.ndarray, n: int) -> np.ndarray:
@@ -48,45 +51,102 @@ def _texts(batch, hasher: WordHasher, min_words: int, text_at: int = 1):
                 yield at + i, words[first[i] : first[i + 1]]
 
 
-def _rows(cols: list[list], ident, hashes: np.ndarray, places: np.ndarray, buckets: int) -> None:
-    """Append a row (bucket, id, hashes, places) for each bucket, by range of hash, that has any."""
-    bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
-    order = np.argsort(bucket, kind="stable")
-    bucket, hashes, places = bucket[order], hashes[order], places[order]
-    cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-    for a, b in zip(cuts, [*cuts[1:], len(bucket)]):
-        for col, x in zip(cols, (bucket[a], ident, hashes[a:b].tobytes(), places[a:b].astype(np.int32).tobytes())):
-            col.append(x)
+class _Chunk:
+    """Hashes of the windows of many documents, sorted out before they are shuffled.
 
+    What occurs twice in the chunk is repeated, so its places are known, and one token is sent for it: a hash in all documents puts a row per chunk into its
+    bucket, not one per document. What occurs once is sent with its place.
+    """
 
-def _batch(cols: list[list]) -> pa.RecordBatch:
-    types = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["bucket", "id", "hashes", "places"])
+    def __init__(self, buckets: int):
+        self.buckets, self.ids, self.hashes, self.places, self.n = buckets, [], [], [], 0
+
+    def add(self, ident: int, hashes: np.ndarray, places: np.ndarray) -> bool:
+        """Says whether the chunk is full."""
+        if len(hashes):
+            self.ids.append((ident, len(hashes)))
+            self.hashes.append(hashes)
+            self.places.append(places.astype(np.int32))
+            self.n += len(hashes)
+        return self.n >= CHUNK_HASHES
+
+    def rows(self) -> pa.RecordBatch:
+        """(bucket, id, hashes, places): places without hashes are known to be repeated, hashes without places are tokens."""
+        cols: list[list] = [[], [], [], []]
+        if self.n:
+            hashes, places = np.concatenate(self.hashes), np.concatenate(self.places)
+            ids, counts = np.array([i for i, _ in self.ids], np.int64), np.array([c for _, c in self.ids])
+            doc = np.repeat(np.arange(len(ids)), counts)
+            order = np.argsort(hashes, kind="stable")
+            own = hashes[order]
+            same = own[1:] == own[:-1]
+            twice = np.zeros(len(own), bool)
+            twice[order] = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+            tokens = own[np.concatenate([[False], same]) & ~np.concatenate([[False, False], same[:-1]])[: len(own)]]
+            self._put(cols, doc[~twice], ids, hashes[~twice], places[~twice])
+            self._put(cols, np.zeros(len(tokens), np.int64), np.zeros(1, np.int64), tokens, None)
+            known, at = doc[twice], places[twice]
+            cuts = np.flatnonzero(np.diff(known, prepend=-1))
+            for a, b in zip(cuts, [*cuts[1:], len(known)]):
+                ident = int(ids[known[a]])
+                self._row(cols, ident * 0x9E3779B1 % self.buckets, ident, b"", at[a:b].tobytes())
+        self.ids, self.hashes, self.places, self.n = [], [], [], 0
+        types = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["bucket", "id", "hashes", "places"])
+
+    def _put(self, cols, doc, ids, hashes, places) -> None:
+        bucket = ((hashes >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)).astype(np.int64)
+        order = np.lexsort((doc, bucket))
+        bucket, doc, hashes = bucket[order], doc[order], hashes[order]
+        places = None if places is None else places[order]
+        cuts = np.flatnonzero((np.diff(bucket, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))
+        for a, b in zip(cuts, [*cuts[1:], len(bucket)]):
+            self._row(cols, int(bucket[a]), int(ids[doc[a]]), hashes[a:b].tobytes(), b"" if places is None else places[a:b].tobytes())
+
+    @staticmethod
+    def _row(cols, *values) -> None:
+        for col, x in zip(cols, values):
+            col.append(x)
 
 
 _SPREAD = "bucket int, id bigint, hashes binary, places binary"
 
 
 def _repeated(spread: DataFrame, buckets: int) -> DataFrame:
-    """(id, places): of each row the places whose hash occurs twice or more in all."""
+    """(id, places): of each row of documents the places whose hash occurs twice or more in all."""
 
     def raw(col: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
         _, off, data = col.buffers()
         off = np.frombuffer(off, np.int32)[col.offset : col.offset + len(col) + 1]
-        return np.frombuffer(data, np.uint8)[off[0] : off[-1]].view(kind), np.diff(off) // np.dtype(kind).itemsize
+        return np.frombuffer(data, np.uint8)[off[0] : off[-1]].view(kind) if data is not None else np.zeros(0, kind), np.diff(off) // np.dtype(kind).itemsize
 
     def run(batches):
-        parts = [b for b in batches if b.num_rows]
+        parts = []
+        for b in batches:
+            n_hashes = pc.binary_length(b.column(2))
+            known = b.filter(pc.equal(n_hashes, 0))
+            if known.num_rows:
+                yield known.select(["id", "places"])
+            rest = b.filter(pc.greater(n_hashes, 0))
+            if rest.num_rows:
+                parts.append(rest)
         if not parts:
             return
         ids = np.concatenate([b.column(1).to_numpy() for b in parts])
         hashes, counts = (np.concatenate(x) for x in zip(*(raw(b.column(2), np.uint64) for b in parts)))
-        places = np.concatenate([raw(b.column(3), np.int32)[0] for b in parts])
+        places, n_places = (np.concatenate(x) for x in zip(*(raw(b.column(3), np.int32) for b in parts)))
         order = np.argsort(hashes, kind="stable")
         own = hashes[order]
         same = own[1:] == own[:-1]
         again = np.zeros(len(own), bool)
         again[order] = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        placed = np.repeat(n_places > 0, counts)
+        # a token stands for several places
+        token = np.unique(hashes[~placed])
+        if len(token):
+            again |= token[np.minimum(np.searchsorted(token, hashes), len(token) - 1)] == hashes
+        again = again[placed]
+        ids, counts = ids[n_places > 0], counts[n_places > 0]
         ends = np.cumsum(counts)
         kept = np.concatenate([[0], np.cumsum(again)])
         per = kept[ends] - kept[ends - counts]
@@ -112,7 +172,8 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", min_w
     Two equal passages are at some places i and j; the cover has a step of less than PERIOD by which both are cover positions. So both
     have there an anchor, the hash of min_words - PERIOD + 1 words, and the two are equal. Only one position in five is anchored; anchors
     that occur once are dropped; around the others the passages that contain them are hashed whole, and again only what occurs twice
-    stays. Both steps count hashes by range and never pair documents up, so a passage that all documents share costs no more than its copies.
+    stays. Both steps count hashes by range and never pair documents up. What a chunk of documents holds twice is settled there, and only a token of it is
+    sent on, so a bucket gets a row per chunk, not per document, of a passage that all documents share.
     """
     width = min_words - PERIOD + 1
     if width < 1:
@@ -124,23 +185,23 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", min_w
     cover = np.isin(np.arange(PERIOD), COVER)
 
     def anchors(batches):
-        hasher = WordHasher()
+        hasher, chunk = WordHasher(), _Chunk(buckets)
         for batch in batches:
-            ids, cols = batch.column(0).to_numpy(), [[], [], [], []]
+            ids = batch.column(0).to_numpy()
             for i, words in _texts(batch, hasher, min_words):
                 hashes = _windows(words, width)
                 at = np.flatnonzero(cover[np.arange(len(hashes)) % PERIOD])
-                _rows(cols, ids[i], hashes[at], at, buckets)
-            yield _batch(cols)
+                if chunk.add(int(ids[i]), hashes[at], at):
+                    yield chunk.rows()
+        yield chunk.rows()
 
     anchored = _repeated(docs.mapInArrow(anchors, _SPREAD), buckets)
     of_doc = cut(anchored.groupBy(F.col("id").alias("__id")).agg(F.collect_list("places").alias("places")), "substring-anchors")
 
     def passages(batches):
-        hasher = WordHasher()
+        hasher, chunk = WordHasher(), _Chunk(buckets)
         for batch in batches:
-            ids, cols = batch.column(0).to_numpy(), [[], [], [], []]
-            found = batch.column(2)
+            ids, found = batch.column(0).to_numpy(), batch.column(2)
             for i, words in _texts(batch, hasher, min_words):
                 hashes = _windows(words, min_words)
                 at = np.concatenate([np.frombuffer(x, np.int32) for x in found[i].as_py()])
@@ -149,8 +210,9 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", min_w
                 np.add.at(edge, np.maximum(at[at < len(hashes) + PERIOD] - (PERIOD - 1), 0), 1)
                 np.add.at(edge, at[at < len(hashes) + PERIOD] + 1, -1)
                 starts = np.flatnonzero(np.cumsum(edge)[: len(hashes)] > 0)
-                _rows(cols, ids[i], hashes[starts], starts, buckets)
-            yield _batch(cols)
+                if chunk.add(int(ids[i]), hashes[starts], starts):
+                    yield chunk.rows()
+        yield chunk.rows()
 
     near = docs.join(of_doc, F.col("id") == F.col("__id")).select("id", "text", "places")
     whole = _repeated(near.mapInArrow(passages, _SPREAD), buckets).groupBy("id").agg(F.collect_list("places").alias("places"))
