@@ -17,8 +17,8 @@ from trawl.llm.common import table
 _SIZES = (0, 1, 1, 2, 4, 8, 1, 1, 2, 4, 8, 4, 8, 4, 0, 0, 8, 8, 8)
 _CODES = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q", 17: "q", 13: "I", 18: "Q"}
 NAMES = {1: "none", 5: "lzw", 8: "deflate", 32946: "deflate", 32773: "packbits"}
-#: A page of more bytes than this is not decoded: it is reported as too large.
-MAX_PAGE_BYTES = 1 << 30
+#: What a binary value of Spark can hold: samples of more bytes can't be a column, so such a page has an error instead.
+VALUE_BYTES = (1 << 31) - 1
 
 
 def packbits(data: bytes, size: int) -> bytes:
@@ -36,41 +36,70 @@ def packbits(data: bytes, size: int) -> bytes:
     return bytes(out[:size])
 
 
+def _lzw_places() -> tuple[np.ndarray, np.ndarray]:
+    """The width of the k-th code after a clear, and the bits before it: the table grows with each code, so both follow from k."""
+    k = np.arange(4096)
+    width = np.clip(np.floor(np.log2(258 + k)).astype(np.int64) + 1, 9, 12)
+    width[0] = 9
+    return width, np.concatenate([[0], np.cumsum(width)[:-1]])
+
+
+_WIDTHS, _BEFORE = _lzw_places()
+
+
+def _lzw_codes(data: np.ndarray, n_bits: int, at: int, k: int) -> np.ndarray:
+    """Codes from bit `at` on, the first being the k-th after a clear, as if no clear came; data is followed by three bytes."""
+    most = (n_bits - at) // 9 + 1
+    width, before = (_WIDTHS[k : k + most], at + _BEFORE[k : k + most] - _BEFORE[k]) if k < 4096 else (np.full(min(most, 4096), 12), at + 12 * np.arange(min(most, 4096)))
+    n = int(np.searchsorted(before + width, n_bits, "right"))
+    width, before = width[:n], before[:n]
+    i = before >> 3
+    held = data[i] << 16 | data[i + 1] << 8 | data[i + 2]
+    return held >> (24 - (before & 7) - width) & ((1 << width) - 1)
+
+
 def lzw(data: bytes, size: int) -> bytes:
-    """Codes of 9 to 12 bits, high bits first, wider one code early; 256 clears, 257 ends."""
-    first = [bytes([b]) for b in range(256)] + [b"", b""]
-    entries, width, prev = list(first), 9, None
-    out: list[bytes] = []
-    held = n_held = total = 0
-    for byte in data:
-        held = held << 8 | byte
-        n_held += 8
-        if n_held < width:
-            continue
-        n_held -= width
-        code = held >> n_held
-        held &= (1 << n_held) - 1
-        if code == 257:
-            break
-        if code == 256:
-            entries, width, prev = list(first), 9, None
-            continue
-        if code < len(entries):
-            own = entries[code]
-        elif prev is not None and code == len(entries):
-            own = prev + prev[:1]
+    """Codes of 9 to 12 bits, high bits first, wider one code early; 256 clears, 257 ends.
+
+    All codes up to the next clear are cut out at once. A code of the table stands for what an earlier code wrote and the byte after it, so it
+    is copied from there, and no table is kept.
+    """
+    bits = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.int64)
+    out, at, n_bits = bytearray(), 0, len(data) * 8
+    starts: list[int] = []
+    while True:
+        k = len(starts)
+        codes = _lzw_codes(bits, n_bits, at, k)
+        stop = np.flatnonzero((codes == 256) | (codes == 257))
+        n = int(stop[0]) if len(stop) else len(codes)
+        for c in codes[:n].tolist():
+            here = len(out)
+            starts.append(here)
+            if c < 256:
+                out.append(c)
+            elif c - 257 < k:
+                out += out[starts[c - 258] : starts[c - 257] + 1]
+            elif c - 257 == k and k:
+                first = starts[c - 258]
+                out += out[first:here]
+                out.append(out[first])
+            else:
+                raise ValueError("bad LZW code")
+            if len(out) >= size:
+                return bytes(out[:size])
+            k += 1
+        if not len(codes) or (len(stop) and codes[n] == 257):
+            return bytes(out)
+        if len(stop):
+            at, starts = _after(at, k - n, k), []
         else:
-            raise ValueError("bad LZW code")
-        out.append(own)
-        total += len(own)
-        if total >= size:
-            break
-        if prev is not None and len(entries) < 4096:
-            entries.append(prev + own[:1])
-            if len(entries) + 1 >= 1 << width and width < 12:
-                width += 1
-        prev = own
-    return b"".join(out)[:size]
+            at = _after(at, k - n, k - 1)
+
+
+def _after(at: int, first: int, last: int) -> int:
+    """The bit after the last code, if the first one (both counted from a clear) begins at bit at."""
+    own = min(last + 1, 4096) - min(first, 4096)
+    return at + int(_WIDTHS[min(first, 4096) : min(first, 4096) + own].sum()) + 12 * (last + 1 - first - own)
 
 
 def _decode(kind: int, data: bytes, size: int) -> bytes:
@@ -170,8 +199,8 @@ def decode_page(data: bytes, order: str, tags: dict) -> np.ndarray:
     if len(set(bits)) != 1:
         raise ValueError("samples of different bits are not supported")
     bits = bits[0]
-    if width * height * planes * max(bits, 8) // 8 > MAX_PAGE_BYTES:
-        raise ValueError("page is too large")
+    if width * height * planes * max(bits, 8) // 8 > VALUE_BYTES:
+        raise ValueError("page is too large for one value")
     if predictor not in (1, 2, 3):
         raise ValueError(f"predictor {predictor} is not supported")
     apart = get(284, 1) == 2 and planes > 1
@@ -242,7 +271,7 @@ def decode(images: DataFrame, key: str = "path", content: str = "content") -> Da
     signed or floating point; no compression, PackBits, LZW and deflate; predictors 2 (differences) and 3 (floating point).
     pixels holds the samples row by row, low byte first, samples of under 8 bits in a byte each; pixels_md5 and pixel_sum are over them.
 
-    A page that can't be decoded has its tags and an error, and the pages after it go on. A chain of directories that breaks, or content
+    A page that can't be decoded, or whose samples are more than one binary value can hold (2 GB), has its tags and an error, and the pages after it go on. A chain of directories that breaks, or content
     that is no TIFF, ends with a row of page_no and error. Null content gives no rows, empty content an error row; repeated rows are decoded
     each; a null key stays null; other columns are ignored; an empty table gives an empty table.
     """
@@ -251,14 +280,15 @@ def decode(images: DataFrame, key: str = "path", content: str = "content") -> Da
 
     def run(batches):
         for batch in batches:
-            at, rows = [], []
+            at, rows, held = [], [], 0
             for i, data in enumerate(batch.column(1)):
-                found = pages_of(data.as_py())
-                at += [i] * len(found)
-                rows += found
-                if sum(len(r.get("pixels") or b"") for r in rows) > 1 << 26:  # what is sent at once stays small
-                    yield out(batch, at, rows)
-                    at, rows = [], []
+                for r in pages_of(data.as_py()):
+                    at.append(i)
+                    rows.append(r)
+                    held += len(r.get("pixels") or b"")
+                    if held > 1 << 26:  # what is sent at once stays small
+                        yield out(batch, at, rows)
+                        at, rows, held = [], [], 0
             yield out(batch, at, rows)
 
     def out(batch, at, rows):
@@ -289,43 +319,32 @@ def pack_packbits(data: bytes) -> bytes:
 
 
 def pack_lzw(data: bytes) -> bytes:
-    held = n_held = 0
-    out = bytearray()
-
-    def put(code, width):
-        nonlocal held, n_held
-        held, n_held = held << width | code, n_held + width
-        while n_held >= 8:
-            n_held -= 8
-            out.append(held >> n_held)
-            held &= (1 << n_held) - 1
-
-    entries, width, own = {bytes([b]): b for b in range(256)}, 9, b""
-    put(256, width)
-    next_code = 258
-    for b in data:
-        more = own + bytes([b])
-        if more in entries:
+    codes, widths, width, next_code = [256], [9], 9, 258
+    known: dict[int, int] = {}
+    own = data[0] if data else None
+    for b in data[1:]:
+        pair = own << 8 | b
+        if (more := known.get(pair)) is not None:
             own = more
             continue
-        put(entries[own], width)
-        entries[more] = next_code
+        codes.append(own)
+        widths.append(width)
+        known[pair] = next_code
         next_code += 1
         if next_code == 4094:
-            put(256, width)
-            entries, width, next_code = {bytes([c]): c for c in range(256)}, 9, 258
+            codes.append(256)
+            widths.append(width)
+            known, width, next_code = {}, 9, 258
         elif next_code >= 1 << width:
             width += 1
-        own = bytes([b])
-    if own:
-        put(entries[own], width)
-        next_code += 1
-        if next_code >= 1 << width and width < 12:
+        own = b
+    if own is not None:
+        codes.append(own)
+        widths.append(width)
+        if next_code + 1 >= 1 << width and width < 12:
             width += 1
-    put(257, width)
-    if n_held:
-        put(0, 8 - n_held)
-    return bytes(out)
+    spelled = np.unpackbits(np.array([*codes, 257], ">u2").view(np.uint8)).reshape(-1, 16)
+    return np.packbits(spelled[np.arange(16) >= 16 - np.array([*widths, width])[:, None]]).tobytes()
 
 
 def encode(images: list[tuple], order: str = "<") -> bytes:
@@ -395,4 +414,4 @@ def tiff_of_embeddings(embeddings: DataFrame) -> DataFrame:
 def query(spark, sf_dir):
     found = decode(tiff_of_embeddings(table(spark, sf_dir, "embeddings")), key="vec_id")
     # the samples as text: pages of one file hold the same bytes in three shapes
-    return found.withColumn("pixels", F.lower(F.hex("pixels"))).withColumn("pixel_sum", F.when(F.col("page_no") > 0, F.col("pixel_sum")))
+    return found.withColumn("pixels", F.lower(F.hex("pixels")))
