@@ -9,24 +9,27 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trawl.operators import coverage, fuse, post, retrieve, short
-from trawl.operators.index import Index, build_index
+from trawl.operators.index import CHAMPIONS, Index, build_index
 from trawl.plans import dsl
 from trawl.plans.config import CoverageConfig, FieldSpec, IndexConfig
 from trawl.sources.shared import cut
 
 #: Queries of up to so many characters without a delimiter count as type-ahead.
 TYPE_AHEAD = 3
-#: Type-ahead queries that reach more documents are not looked at word by word.
-SHORT_COVERED = 500
 
 
 @dataclass
 class SearchResult:
-    """records: query_id, rank, doc_key, segment, doc_id, score, precedence, semantic, tiebreaker; facets and metadata by query_id."""
+    """records: query_id, rank, doc_key, segment, doc_id, score, precedence, semantic, tiebreaker; facets and metadata by query_id.
+
+    in_filter has one row, documents_in_filter, for a search with a filter; boosted one row, documents_boosted, for one with boosts.
+    """
 
     records: DataFrame
     facets: DataFrame | None
     metadata: DataFrame
+    in_filter: DataFrame | None = None
+    boosted: DataFrame | None = None
 
 
 class SearchEngine:
@@ -41,17 +44,28 @@ class SearchEngine:
     def minimal(docs: DataFrame, fields: list[FieldSpec], key: str = "doc_key") -> SearchEngine:
         return SearchEngine(build_index(docs, fields, key, config=IndexConfig.named(103)), CoverageConfig.minimal())
 
-    def first_stage(self, prepared: DataFrame, docs: DataFrame, depth: int) -> DataFrame:
-        """(query_id, doc_id, score, rank) of the depth best documents of each query, by the way that its words allow."""
-        i = self.index
+    def first_stage(self, prepared: DataFrame, docs: DataFrame, depth: int, k: int | None = None) -> DataFrame:
+        """(query_id, doc_id, score, rank) of the depth best documents of each query, by the way that its words allow.
+
+        docs is the index's own docs table, or that part of it that a filter lets pass. One-letter queries for which the index holds k
+        champions, or more, are answered by these.
+        """
+        i, all_docs = self.index, docs is self.index.docs
         kinds = {r.kind for r in prepared.select("kind").distinct().collect()}  # four at most
         ways = []
         if "grams" in kinds:
-            lengths = i.lengths.join(docs.select("doc_id"), "doc_id", "left_semi")
+            lengths = i.lengths.select("doc_id", "dl")
+            if not all_docs:
+                lengths = lengths.join(docs.select("doc_id"), "doc_id", "left_semi")
             wanted = retrieve.query_terms(prepared, i.config)
-            ways.append(retrieve.bm25_scores(wanted, i.terms, i.postings, lengths, i.stats).select("query_id", "doc_id", "score"))
+            ways.append(retrieve.bm25_scores(wanted, i.terms, i.postings, lengths, i.stats, variants=i.variants, most=i.config.most_expanded).select("query_id", "doc_id", "score"))
         if "single" in kinds:
-            ways.append(short.single_char_search(prepared.where("kind = 'single'"), docs))
+            letters = prepared.where("kind = 'single'")
+            if k and all_docs and k <= CHAMPIONS and "champions" in i.tables:
+                ready = short.champion_search(letters, i.champions, k)
+                ways.append(ready)
+                letters = letters.join(ready.select("query_id").distinct(), "query_id", "left_anti")
+            ways.append(short.single_char_search(letters, docs))
         if "short" in kinds or not ways:
             ways.append(short.short_search(prepared.where("kind = 'short'"), i.terms, i.postings, docs, i.config.min_word, i.config.start_pad))
         scored = ways[0]
@@ -60,14 +74,21 @@ class SearchEngine:
         return retrieve.top(scored, depth)
 
     def candidates(self, prepared: DataFrame, stage: DataFrame, docs: DataFrame, depth: int) -> DataFrame:
-        """(query_id, doc_id, base): the first stage with its share of the best score, and up to depth in all of what words find."""
+        """(query_id, doc_id, base): the first stage with its share of the best score, and what words find besides.
+
+        With config.limit_words there are no more than depth candidates in all: of those that only words find the lowest doc_ids.
+        """
         i = self.index
         based = stage.select("query_id", "doc_id", (F.col("score") / F.nullif(F.max("score").over(W.partitionBy("query_id")), F.lit(0.0))).alias("base"))
         if i.config.words is None:
             return based
-        found = retrieve.word_candidates(prepared, i.words, i.deletes, i.config.words).join(docs.select("doc_id"), "doc_id", "left_semi")
+        found = retrieve.word_candidates(prepared, i.words, i.deletes, i.config.words, i.word_idf)
+        if docs is not i.docs:
+            found = found.join(docs.select("doc_id"), "doc_id", "left_semi")
         both = based.unionByName(found.select("query_id", "doc_id", F.lit(None).cast("double").alias("base")))
         one = both.groupBy("query_id", "doc_id").agg(F.max("base").alias("base"), F.count("*").alias("__n"))
+        if not self.coverage_config.limit_words:
+            return one.select("query_id", "doc_id", F.coalesce("base", F.lit(0.0)).alias("base"))
         extra = F.col("base").isNull()
         overlap = F.sum(F.when(F.col("__n") > 1, 1).otherwise(0)).over(W.partitionBy("query_id"))
         order = F.row_number().over(W.partitionBy("query_id", extra).orderBy("doc_id"))
@@ -81,7 +102,8 @@ class SearchEngine:
         """The k best documents of each of queries(query_id, text).
 
         filter_mode "post" filters the k best, so fewer may come back; "pre" ranks only documents that pass. Boosts and sort apply to
-        what is left then. Facets count all of that. Queries without text or whose text is null return nothing; see browse().
+        what is left then. Facets count all of that. Queries without text or whose text is null return nothing, but with facets the first k documents that pass
+        the filter, by key, with the full score, as browse() does.
         """
         if filter_mode not in ("post", "pre"):
             raise ValueError("filter_mode is post or pre")
@@ -89,7 +111,7 @@ class SearchEngine:
         docs = dsl.where(i.docs, filter_) if filter_ is not None and filter_mode == "pre" else i.docs
         # the queries, and no more than depth rows for each: small beside the index, used many times
         prepared = cut(retrieve.prepare_queries(queries, i.config, i.synonyms), "search-queries")
-        stage = cut(self.first_stage(prepared, docs, depth), "search-stage")
+        stage = cut(self.first_stage(prepared, docs, depth, k), "search-stage")
         names = docs.select("doc_id", "doc_key", "segment")
         plain = stage.join(names, "doc_id").select("query_id", "doc_id", "doc_key", "segment", "score", F.lit(0).alias("precedence"), F.lit(0.0).alias("semantic"), F.lit(0).alias("tiebreaker"))
         plain = post.consolidate(plain)
@@ -97,7 +119,14 @@ class SearchEngine:
             results = self._covered(prepared, stage, plain, docs, k, depth, config)
         else:
             results = plain
-        results = cut(post.rank(results, k), "search-best")
+        results = post.rank(results, k)
+        if facets and prepared.where("kind = 'empty'").limit(1).count():
+            passing = dsl.where(i.docs, filter_) if filter_ is not None else i.docs
+            first = passing.select("doc_id", "doc_key", "segment").orderBy("doc_key", "doc_id").limit(k)
+            none = prepared.where("kind = 'empty'").select("query_id").crossJoin(F.broadcast(first))  # k rows
+            zero = {"precedence": F.lit(0), "semantic": F.lit(0.0), "tiebreaker": F.lit(0), "score": F.lit(post.FULL_SCORE)}
+            results = results.unionByName(post.rank(none.withColumns(zero)).select(*results.columns))
+        results = cut(results, "search-best")
         if filter_ is not None and filter_mode == "post":
             results = post.apply_filter(results, i.docs, filter_)
         results = post.apply_boosts(results, i.docs, boosts or [])
@@ -105,7 +134,8 @@ class SearchEngine:
         columns = ["query_id", "rank", "doc_key", "segment", "doc_id", "score", "precedence", "semantic", "tiebreaker"]
         results = results.select(*columns)
         counted = post.result_facets(results, i.docs, i.fields, facet_top) if facets else None
-        return SearchResult(results, counted, post.metadata(results, results))
+        in_filter = post.count_in_filter(i.docs, filter_) if filter_ is not None else None
+        return SearchResult(results, counted, post.metadata(results, results), in_filter, post.count_boosted(i.docs, boosts) if boosts else None)
 
     def _covered(self, prepared, stage, plain, docs, k, depth, config):
         i = self.index
@@ -113,7 +143,10 @@ class SearchEngine:
         kind = prepared.join(rows, "query_id", "left").withColumn("__rows", F.coalesce("__rows", F.lit(0)))
         ahead = (F.length("q") <= TYPE_AHEAD) & (F.size("words") == 1) & (F.length("q") == F.length(F.element_at("words", 1)))
         by_grams = F.col("kind") == "grams"
-        stays = (ahead & (F.col("__rows") >= k)) | (~by_grams & ~(ahead & F.col("__rows").between(1, SHORT_COVERED))) | (ahead & (F.col("__rows") > SHORT_COVERED))
+        # type-ahead queries that reach more documents are not looked at word by word
+        most = config.short_covered
+        few = F.lit(True) if most is None else F.col("__rows") <= most
+        stays = (ahead & (F.col("__rows") >= k)) | (~by_grams & ~(ahead & (F.col("__rows") >= 1) & few)) | (ahead & ~few)
         looked_at = kind.where((F.col("kind") != "empty") & ~F.coalesce(stays, F.lit(False))).drop("__rows")
         found = self.candidates(looked_at, stage.join(looked_at.select("query_id"), "query_id", "left_semi"), docs, depth)
         if config.prescreen:

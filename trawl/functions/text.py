@@ -62,8 +62,8 @@ def index_terms(text: Column, sizes: tuple[int, ...] = (3,), pad: int = 2) -> Co
     return F.concat(*parts, F.filter(words(text), lambda w: F.length(w) >= sizes[0]))
 
 
-def query_terms(text: Column, sizes: tuple[int, ...] = (3,), pad: int = 2, limit: int = 128, high_resolution: bool = False) -> Column:
-    """The terms of a query: words first, then grams of the padded text, the first `limit` of them, each once.
+def query_terms(text: Column, sizes: tuple[int, ...] = (3,), pad: int = 2, limit: int | None = 128, high_resolution: bool = False) -> Column:
+    """The terms of a query: words first, then grams of the padded text, the first `limit` of them (all for None), each once.
 
     With high_resolution also the text without its delimiters, and its grams.
     """
@@ -72,7 +72,8 @@ def query_terms(text: Column, sizes: tuple[int, ...] = (3,), pad: int = 2, limit
     if high_resolution:
         joined = F.array_join(words(text), "")
         parts += [grams(joined, n) for n in sizes] + [F.filter(F.array(joined), lambda x: x != "")]
-    return F.array_distinct(F.slice(F.concat(*parts), 1, limit))
+    every = F.concat(*parts)
+    return F.array_distinct(every if limit is None else F.slice(every, 1, limit))
 
 
 def coverage_tokens(text: Column, min_word: int = 2) -> Column:

@@ -18,8 +18,6 @@ from trawl.functions.text import DELIMITERS
 from trawl.plans.config import CoverageConfig
 
 _WORD = re.compile("[^" + re.escape(DELIMITERS) + "]+")
-#: Longer query words are not matched by edits.
-FUZZY_LIMIT = 63
 
 FEATURES = [
     ("terms_count", "int"), ("terms_any", "int"), ("terms_full", "int"), ("terms_strict", "int"), ("terms_prefix", "int"), ("first_match", "int"), ("sum_ci", "double"),
@@ -161,7 +159,7 @@ def _affix(s: _State) -> None:
 
 def _fuzzy(s: _State, config: CoverageConfig) -> None:
     def most(q: str) -> int:
-        if len(q) > FUZZY_LIMIT:
+        if len(q) > config.max_edited_word:
             return 0
         d = 2 if len(q) >= config.min_len_two_typos else 1 if len(q) >= config.min_len_one_typo or len(q) == 2 else 0
         return min(d, config.typos)
@@ -171,7 +169,7 @@ def _fuzzy(s: _State, config: CoverageConfig) -> None:
         for i, q in enumerate(s.q):
             if not s.q_on[i] or allowed[i] < edits:
                 continue
-            low, high = max(config.min_word, len(q) - edits), min(config.max_fuzzy_word, len(q) + edits, FUZZY_LIMIT)
+            low, high = max(config.min_word, len(q) - edits), min(config.max_fuzzy_word, len(q) + edits, config.max_edited_word)
             for j, (_, d) in enumerate(s.d):
                 if not s.d_on[j] or not low <= len(d) <= high or (len(q) == 2 and d[0] != q[0]):
                     continue

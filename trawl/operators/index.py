@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -30,7 +31,9 @@ class Index:
     word_idf  word, df, idf
     words     word, doc_id: words that may be looked up
     deletes   variant, word: words with one character left out
+    variants  variant, term: terms, and terms with one character left out
     prefixes  prefix, doc_id, position
+    champions prefix, doc_id, score, rank: of each first character of a word the best documents; only in a stored index without deletions
     """
 
     tables: dict[str, DataFrame]
@@ -51,13 +54,22 @@ def idf(n: Column, df: Column) -> Column:
     return F.when(ratio <= 0, F.lit(0.0)).otherwise(F.log(ratio + 1))
 
 
+#: doc_id is doc_key * SEGMENTS + segment.
+SEGMENTS = 1 << 20
+
+
 def with_ids(docs: DataFrame, key: str, segment: str | None = None) -> DataFrame:
     """doc_key, segment and doc_id, which is made from the two, so that a rebuild gives the same ids.
 
-    Keys up to 2**43 with up to 2**20 segments keep their order; an id stands for one row, so (key, segment) must be unique.
+    An id stands for one row, so (key, segment) must be unique. A row with a null key, a key outside -2**43 to 2**43 - 1, or a segment outside 0 to
+    2**20 - 1 could not be told from others or found again: it raises an error when the index is made. A null segment is 0.
     """
     seg = F.coalesce(F.col(segment).cast("int"), F.lit(0)) if segment else F.lit(0)
-    return docs.withColumn("doc_key", F.col(key).cast("long")).withColumn("segment", seg).withColumn("doc_id", F.col("doc_key") * (1 << 20) + F.col("segment"))
+    own = docs.withColumn("doc_key", F.col(key).cast("long")).withColumn("segment", seg)
+    k, limit = F.col("doc_key"), 1 << 43
+    wrong = k.isNull() | (k < -limit) | (k >= limit) | (F.col("segment") < 0) | (F.col("segment") >= SEGMENTS)
+    said = F.concat(F.lit("no document number for key "), F.coalesce(k.cast("string"), F.lit("null")), F.lit(", segment "), F.col("segment").cast("string"))
+    return own.withColumn("doc_id", F.when(wrong, F.raise_error(said).cast("long")).otherwise(k * SEGMENTS + F.col("segment")))
 
 
 def prepare(docs: DataFrame, fields: list[FieldSpec], key: str, segment: str | None = None, synonyms: Synonyms | None = None) -> DataFrame:
@@ -74,7 +86,7 @@ def prepare(docs: DataFrame, fields: list[FieldSpec], key: str, segment: str | N
     own = own.withColumn("parts", F.transform("__texts", lambda t, i: F.struct(F.element_at("parts", i + 1)["weight"].alias("weight"), t.alias("text")))).drop("__texts")
     own = own.withColumn("lower_text", F.array_join(F.transform("parts", lambda p: p["text"]), T.FIELD_MARK))
     listed = T.words(F.col("lower_text"))
-    return own.withColumn("first_token", F.try_element_at(listed, F.lit(1))).withColumn("token_count", F.least(F.size(listed), F.lit(65535)))
+    return own.withColumn("first_token", F.try_element_at(listed, F.lit(1))).withColumn("token_count", F.size(listed))
 
 
 def fold_weights(weights: list[float]) -> int:
@@ -90,6 +102,27 @@ def fold_weights(weights: list[float]) -> int:
 _STEPS = {1.0: (1, 1), 1.25: (1, 1), 1.5: (2, 2)}
 
 
+def _gram_counts(body: str, sizes: tuple[int, ...]) -> dict[str, int]:
+    """{gram: how often} for all runs of the given sizes of the text."""
+    chars = np.frombuffer(body.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    counts: dict[str, int] = {}
+    for n in sizes:
+        if n > 3 or not chars.all():  # no room for more in a number; and a NUL would end a numpy string
+            counts |= Counter(body[i : i + n] for i in range(len(body) - n + 1))
+            continue
+        if len(chars) < n:
+            continue
+        codes = chars[: len(chars) - n + 1]
+        for k in range(1, n):
+            codes = codes << np.uint64(21) | chars[k : len(chars) - n + 1 + k]
+        codes, times = np.unique(codes, return_counts=True)
+        spelled = np.empty((len(codes), n), np.uint32)
+        for k in range(n):
+            spelled[:, k] = codes >> np.uint64(21 * (n - 1 - k)) & np.uint64((1 << 21) - 1)
+        counts |= zip(spelled.view(f"<U{n}")[:, 0].tolist(), times.tolist())
+    return counts
+
+
 def term_counts(parts: list[tuple[float, str]], sizes: tuple[int, ...], pad: int, continued: bool = False) -> dict[str, int]:
     """{term: tf} of one document. Grams run over all fields' texts; each has the weight of the field in which it begins.
 
@@ -100,12 +133,12 @@ def term_counts(parts: list[tuple[float, str]], sizes: tuple[int, ...], pad: int
     word_lists = [[w for w in _split(t) if len(w) >= sizes[0]] for t in texts]
     weights = {w for w, _ in parts}
     if len(weights) <= 1:
-        counts: Counter = Counter()
+        counts = _gram_counts(body, sizes)
         for n in sizes:
-            counts.update([body[i : i + n] for i in range(len(body) - n + 1)])
             counts.pop(T.PAD * n, None)
         for own in word_lists:
-            counts.update(own)
+            for w, c in Counter(own).items():
+                counts[w] = counts.get(w, 0) + c
         first, step = _STEPS[next(iter(weights), 1.25)]
         if continued:
             return dict.fromkeys(counts, first)
@@ -155,8 +188,21 @@ def postings(docs: DataFrame, config: IndexConfig) -> DataFrame:
     return docs.select("doc_id", "segment", "parts").mapInArrow(run, "term string, doc_id bigint, tf smallint")
 
 
-def doc_lengths(post: DataFrame) -> DataFrame:
-    return post.groupBy("doc_id").agg(F.sum(F.col("tf").cast("long")).alias("dl"))
+def doc_lengths(docs: DataFrame, config: IndexConfig) -> DataFrame:
+    """(doc_id, n_terms, dl): how many terms a document has, and the sum of their tf; one row a document with terms, without a shuffle."""
+    sizes, pad = config.gram_sizes, config.start_pad
+
+    def run(batches):
+        for batch in batches:
+            out: list[list[int]] = [[], [], []]
+            for i, seg, parts in zip(*(c.to_pylist() for c in batch.columns)):
+                own = term_counts([(p["weight"], p["text"] or "") for p in parts or []], sizes, pad, bool(seg))
+                if own:
+                    for col, x in zip(out, (i, len(own), sum(own.values()))):
+                        col.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "n_terms", "dl"])
+
+    return docs.select("doc_id", "segment", "parts").mapInArrow(run, "doc_id bigint, n_terms bigint, dl bigint")
 
 
 def word_table(docs: DataFrame) -> DataFrame:
@@ -176,6 +222,11 @@ def delete_table(vocabulary: DataFrame, config: WordMatchConfig) -> DataFrame:
     return long.select(F.explode(one_deleted(F.col("word"))).alias("variant"), "word")
 
 
+def variant_table(terms: DataFrame, least: int = 3) -> DataFrame:
+    """(variant, term) of terms(term) of at least that many characters: the term itself, and with one character left out."""
+    return terms.where(F.length("term") >= least).select(F.explode(F.array_union(F.array("term"), one_deleted(F.col("term")))).alias("variant"), "term")
+
+
 def prefix_table(docs: DataFrame) -> DataFrame:
     """(prefix, doc_id, position) of the prefixes of one to three characters of each word; position counts words from 0."""
     placed = docs.select("doc_id", F.posexplode(T.words(F.col("lower_text"))).alias("position", "word"))
@@ -188,9 +239,8 @@ def stats_table(lengths: DataFrame, docs: DataFrame) -> DataFrame:
     return docs.agg(F.count("*").alias("n_docs")).crossJoin(lengths.agg(F.sum("dl").alias("__dl"))).select("n_docs", (F.coalesce("__dl", F.lit(0)) / F.greatest("n_docs", F.lit(1))).alias("avgdl"))
 
 
-def derive(docs: DataFrame, post: DataFrame, config: IndexConfig) -> dict[str, DataFrame]:
-    """The tables that follow from docs and postings."""
-    lengths = doc_lengths(post)
+def derive(docs: DataFrame, post: DataFrame, lengths: DataFrame, config: IndexConfig) -> dict[str, DataFrame]:
+    """The tables that follow from docs, postings and lengths."""
     stats = stats_table(lengths, docs)
     n = F.col("n_docs")
     # stats is one row
@@ -198,7 +248,7 @@ def derive(docs: DataFrame, post: DataFrame, config: IndexConfig) -> dict[str, D
     listed = word_table(docs)
     by_word = listed.groupBy("word").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats)).select("word", "df", idf(n, F.col("df")).alias("idf"))
     return {
-        "terms": terms, "lengths": lengths, "stats": stats, "word_idf": by_word, "words": listed,
+        "terms": terms, "lengths": lengths, "stats": stats, "word_idf": by_word, "words": listed, "variants": variant_table(terms.select("term")),
         "deletes": delete_table(by_word.select("word"), config.words or WordMatchConfig()), "prefixes": prefix_table(docs),
     }
 
@@ -207,9 +257,9 @@ def build_index(docs: DataFrame, fields: list[FieldSpec], key: str = "doc_key",
     """The index of docs. Nothing runs until a table is used; write it once with trawl.sources.store.save and search what is read back."""
     config, synonyms = config or IndexConfig(), synonyms or Synonyms()
     own = prepare(docs, fields, key, segment, synonyms)
-    post = postings(own, config)
+    post, lengths = postings(own, config), doc_lengths(own, config)
     own = own.drop("parts")
-    return Index({"docs": own, "postings": post} | derive(own, post, config), fields, config, synonyms)
+    return Index({"docs": own, "postings": post} | derive(own, post, lengths, config), fields, config, synonyms)
 
 
 def get_document(index: Index, key: int) -> DataFrame:
@@ -217,6 +267,11 @@ def get_document(index: Index, key: int) -> DataFrame:
     return index.docs.where(F.col("doc_key") == key).orderBy("segment").limit(1)
 
 
+def first_segments(index: Index) -> DataFrame:
+    """The first segment of every key."""
+    return index.docs.join(index.docs.groupBy(F.col("doc_key").alias("__key")).agg(F.min("doc_id").alias("__first")), F.col("doc_id") == F.col("__first"), "left_semi")
+
+
 def get_documents(index: Index, key: int, segment: int | None = None) -> DataFrame:
     found = index.docs.where(F.col("doc_key") == key)
     return found if segment is None else found.where(F.col("segment") == segment)
@@ -233,4 +288,8 @@ def champions(prefixes: DataFrame, docs: DataFrame, k: int = CHAMPIONS) -> DataF
 
     one = prefixes.where(F.length("prefix") == 1).select("prefix", "doc_id").distinct()
     scored = one.join(docs.select("doc_id", "lower_text"), "doc_id").select("prefix", "doc_id", single_char_score(F.col("prefix"), F.col("lower_text")).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(W.partitionBy("prefix").orderBy(F.desc("score"), "doc_id"))).where(F.col("rank") <= k)
+    return best_champions(scored, k)
+
+
+def best_champions(scored: DataFrame, k: int = CHAMPIONS) -> DataFrame:
+    return scored.select("prefix", "doc_id", "score").withColumn("rank", F.row_number().over(W.partitionBy("prefix").orderBy(F.desc("score"), "doc_id"))).where(F.col("rank") <= k)

@@ -15,8 +15,8 @@ from trawl.operators.index import idf, one_deleted
 from trawl.plans.config import IndexConfig, WordMatchConfig
 
 K1, B, DELTA = 1.2, 0.75, 1.0
-#: A missing term of at least so many characters is expanded, to at most so many terms.
-MIN_EXPANDED, MAX_EXPANDED = 4, 1024
+#: A missing term of at least so many characters is expanded.
+MIN_EXPANDED = 4
 
 
 def prepare_queries(queries: DataFrame, config: IndexConfig, synonyms=None) -> DataFrame:
@@ -37,8 +37,8 @@ def prepare_queries(queries: DataFrame, config: IndexConfig, synonyms=None) -> D
 
 
 def query_terms(prepared: DataFrame, config: IndexConfig) -> DataFrame:
-    """(query_id, term), each once."""
-    return prepared.where("kind = 'grams'").select("query_id", F.explode(T.query_terms(F.col("bm25_text"), config.gram_sizes, config.start_pad)).alias("term"))
+    """(query_id, term), each once; of a long query the first config.query_terms, all where that is None."""
+    return prepared.where("kind = 'grams'").select("query_id", F.explode(T.query_terms(F.col("bm25_text"), config.gram_sizes, config.start_pad, config.query_terms, config.high_resolution)).alias("term"))
 
 
 def within_one(wanted: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -53,12 +53,22 @@ def within_one(wanted: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return left.join(right, "variant").where(F.levenshtein("term", "match", 1) >= 0).select("term", "match").distinct()
 
 
-def expand_missing(terms_wanted: DataFrame, terms: DataFrame, postings: DataFrame, n_docs: Column, stats: DataFrame) -> DataFrame:
-    """(term, doc_id, tf, idf) of the terms that the index lacks: the documents of all terms within one edit, as one term of tf 1."""
+def near_terms(lacking: DataFrame, variants: DataFrame) -> DataFrame:
+    """within_one() where the spelled-out vocabulary lies ready: variants(variant, term) is only read where a variant is asked for."""
+    left = lacking.select("term", F.explode(F.array_union(F.array("term"), one_deleted(F.col("term")))).alias("variant"))
+    found = left.join(variants.select("variant", F.col("term").alias("match")), "variant")
+    return found.where(F.levenshtein("term", "match", 1) >= 0).select("term", "match").distinct()
+
+
+def expand_missing(terms_wanted: DataFrame, terms: DataFrame, postings: DataFrame, n_docs: Column, stats: DataFrame, variants: DataFrame | None = None, most: int | None = 1024) -> DataFrame:
+    """(term, doc_id, tf, idf) of the terms that the index lacks: the documents of all terms within one edit, as one term of tf 1.
+
+    Of more than `most` such terms the first ones in the alphabet count; all where it is None.
+    """
     lacking = terms_wanted.select("term").distinct().where(F.length("term") >= MIN_EXPANDED).join(terms.select("term"), "term", "left_anti")
-    sized = terms.where(F.length("term") >= MIN_EXPANDED - 1)
-    near = within_one(lacking, sized)
-    near = near.withColumn("__n", F.row_number().over(W.partitionBy("term").orderBy("match"))).where(F.col("__n") <= MAX_EXPANDED)
+    near = within_one(lacking, terms.where(F.length("term") >= MIN_EXPANDED - 1)) if variants is None else near_terms(lacking, variants).join(terms.select(F.col("term").alias("match")), "match", "left_semi")
+    if most is not None:
+        near = near.withColumn("__n", F.row_number().over(W.partitionBy("term").orderBy("match"))).where(F.col("__n") <= most)
     docs = near.join(postings.select(F.col("term").alias("match"), "doc_id"), "match").select("term", "doc_id").distinct()
     count = docs.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats)).select("term", idf(n_docs, F.col("df")).alias("idf"))
     return docs.join(count, "term").select("term", "doc_id", F.lit(1).cast("smallint").alias("tf"), "idf")
@@ -70,12 +80,14 @@ def bm25(tf: Column, idf_: Column, dl: Column, avgdl: Column) -> Column:
     return idf_ * (tf * (K1 + 1) / (tf + norm) + DELTA)
 
 
-def bm25_scores(wanted: DataFrame, terms: DataFrame, postings: DataFrame, lengths: DataFrame, stats: DataFrame, expand: bool = True) -> DataFrame:
+def bm25_scores(
+    wanted: DataFrame, terms: DataFrame, postings: DataFrame, lengths: DataFrame, stats: DataFrame, expand: bool = True, variants: DataFrame | None = None, most: int | None = 1024,
+) -> DataFrame:
     """(query_id, doc_id, score, n_terms) of every document that has a term of the query."""
     known = wanted.join(terms.select("term", "idf"), "term")
     hits = known.join(postings, "term").select("query_id", "doc_id", "tf", "idf")
     if expand:
-        extra = expand_missing(wanted, terms, postings, F.col("n_docs"), stats)
+        extra = expand_missing(wanted, terms, postings, F.col("n_docs"), stats, variants, most)
         hits = hits.unionByName(wanted.join(extra, "term").select("query_id", "doc_id", "tf", "idf"))
     scored = hits.join(lengths, "doc_id").crossJoin(F.broadcast(stats.select("avgdl")))
     one = bm25(F.col("tf").cast("double"), F.col("idf"), F.col("dl"), F.col("avgdl"))
@@ -103,7 +115,7 @@ def intersect(wanted: DataFrame, postings: DataFrame) -> DataFrame:
 def prescreen(candidates: DataFrame, query_words: DataFrame, words: DataFrame) -> DataFrame:
     """Candidates without any word of the query go, of queries all of whose words the index has, unless none would be left."""
     have = query_words.join(words, "word").select("query_id", "doc_id").distinct()
-    unknown = query_words.join(words.select("word").distinct(), "word", "left_anti").select("query_id").distinct()
+    unknown = query_words.join(words.select("word"), "word", "left_anti").select("query_id").distinct()
     kept = candidates.join(have, ["query_id", "doc_id"], "left_semi")
     screened = kept.select("query_id").distinct().join(unknown, "query_id", "left_anti")
     return kept.join(screened, "query_id", "left_semi").unionByName(candidates.join(screened, "query_id", "left_anti"))
@@ -119,7 +131,12 @@ def prefix_first(queries: DataFrame, prefixes: DataFrame, top_k: int) -> DataFra
     return longest.select("query_id", "doc_id", (F.col("n") >= min(2 * top_k, 100)).alias("only"))
 
 
-def lookup_words(wanted: DataFrame, words: DataFrame, deletes: DataFrame, config: WordMatchConfig) -> DataFrame:
+def _vocabulary(words: DataFrame, vocabulary: DataFrame | None) -> DataFrame:
+    """(word), each once: from the counted vocabulary where there is one, else from the postings of words."""
+    return words.select("word").distinct() if vocabulary is None else vocabulary.select("word")
+
+
+def lookup_words(wanted: DataFrame, words: DataFrame, deletes: DataFrame, config: WordMatchConfig, vocabulary: DataFrame | None = None) -> DataFrame:
     """(word, doc_id): documents with the word, or with one that symmetric deletes bring together with it.
 
     Those are words of the deletes table that lose one character to become the word, that the word loses one
@@ -129,39 +146,57 @@ def lookup_words(wanted: DataFrame, words: DataFrame, deletes: DataFrame, config
     may_delete = F.length("word").between(config.min_delete, config.max_delete)
     fit = lambda c: F.length(c).between(config.min_exact, config.max_exact)
     cut = asked.where(may_delete).select("word", F.explode(one_deleted(F.col("word"))).alias("variant"))
-    vocabulary = words.select(F.col("word").alias("match")).distinct().where(fit("match"))
+    known = _vocabulary(words, vocabulary).select(F.col("word").alias("match")).where(fit("match"))
     longer = deletes.select(F.col("variant"), F.col("word").alias("match"))
     found = asked.where(fit("word")).select("word", F.col("word").alias("match"))
-    found = found.unionByName(asked.where(may_delete).join(longer, F.col("word") == F.col("variant")).select("word", "match"))
-    found = found.unionByName(cut.join(longer, "variant").select("word", "match"))
-    found = found.unionByName(cut.join(vocabulary, F.col("variant") == F.col("match")).select("word", "match")).distinct()
+    # a variant of the deletes table meets the word itself, or the word with a character left out: one look-up
+    tried = cut.unionByName(asked.where(may_delete).select("word", F.col("word").alias("variant")))
+    found = found.unionByName(tried.join(longer, "variant").select("word", "match"))
+    found = found.unionByName(cut.join(known, F.col("variant") == F.col("match")).select("word", "match")).distinct()
     return found.join(words.select(F.col("word").alias("match"), "doc_id"), "match").select("word", "doc_id").distinct()
 
 
+def _by_affix(wanted: DataFrame, vocabulary: DataFrame, cut) -> DataFrame:
+    """(word, match) where cut(match, length of word) is word. Each length that is asked for is one equality; there are no more of them than the
+    longest wanted word has characters, so no word meets all of the vocabulary."""
+    asked = wanted.select("word").distinct().where("word IS NOT NULL")
+    sizes = asked.select(F.length("word").alias("n")).distinct()
+    sizes = [r.n for r in sizes.collect()]  # lengths of words
+    if not sizes:
+        return asked.select("word", F.col("word").alias("match")).where("false")
+    own = vocabulary.select(F.col("word").alias("match")).distinct() if vocabulary.columns != ["word"] else vocabulary.select(F.col("word").alias("match"))
+    tried = own.select("match", F.explode(F.filter(F.array(*map(F.lit, sorted(sizes))), lambda n: n <= F.length("match"))).alias("n")).select("match", cut(F.col("match"), F.col("n")).alias("word"))
+    return asked.join(tried, "word").select("word", "match").distinct()
+
+
 def by_prefix(wanted: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(word, match): words of vocabulary that begin with the wanted one."""
-    return wanted.select("word").distinct().join(vocabulary.select(F.col("word").alias("match")).distinct(), F.startswith("match", F.col("word")))
+    return _by_affix(wanted, vocabulary, lambda c, n: F.substring(c, F.lit(1), n))
 
 
 def by_suffix(wanted: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(word, match): words of vocabulary that end with the wanted one."""
-    return wanted.select("word").distinct().join(vocabulary.select(F.col("word").alias("match")).distinct(), F.endswith("match", F.col("word")))
+    return _by_affix(wanted, vocabulary, lambda c, n: F.substring(c, F.length(c) - n + 1, n))
+
 
+def lookup_affixes(wanted: DataFrame, words: DataFrame, min_word: int = 3, most: int | None = 4096, vocabulary: DataFrame | None = None) -> DataFrame:
+    """(word, doc_id): documents of the words that have the wanted one as prefix or suffix.
 
-def lookup_affixes(wanted: DataFrame, words: DataFrame, min_word: int = 3, most: int = 4096) -> DataFrame:
-    """(word, doc_id): documents of the words that have the wanted one as prefix or suffix."""
-    vocabulary = words.where(F.length("word") >= min_word).select("word").distinct()
-    found = by_prefix(wanted, vocabulary).unionByName(by_suffix(wanted, vocabulary)).distinct()
-    found = found.withColumn("__n", F.row_number().over(W.partitionBy("word").orderBy("match"))).where(F.col("__n") <= most)
+    Of more than `most` such words the first ones in the alphabet count; all where it is None.
+    """
+    known = _vocabulary(words, vocabulary).where(F.length("word") >= min_word)
+    found = by_prefix(wanted, known).unionByName(by_suffix(wanted, known)).distinct()
+    if most is not None:
+        found = found.withColumn("__n", F.row_number().over(W.partitionBy("word").orderBy("match"))).where(F.col("__n") <= most)
     return found.join(words.select(F.col("word").alias("match"), "doc_id"), "match").select("word", "doc_id").distinct()
 
 
-def word_candidates(prepared: DataFrame, words: DataFrame, deletes: DataFrame, config: WordMatchConfig) -> DataFrame:
+def word_candidates(prepared: DataFrame, words: DataFrame, deletes: DataFrame, config: WordMatchConfig, vocabulary: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id): what any word of the query of two characters or more finds exactly, by one edit, or as an affix."""
     asked = prepared.select("query_id", F.explode(F.array_distinct("words")).alias("word")).where(F.length("word") >= 2)
-    found = lookup_words(asked, words, deletes, config)
+    found = lookup_words(asked, words, deletes, config, vocabulary)
     if config.affix:
-        found = found.unionByName(lookup_affixes(asked, words, config.min_affix))
+        found = found.unionByName(lookup_affixes(asked, words, config.min_affix, config.most_affixes, vocabulary))
     return asked.join(found, "word").select("query_id", "doc_id").distinct()
 
 
@@ -177,3 +212,15 @@ def query_idf(prepared: DataFrame, terms: DataFrame, by_word: DataFrame, config:
     one = F.struct("at", "token", F.coalesce("g", F.log2(F.length("token") + 1)).alias("gram_idf"), F.coalesce("w", F.lit(0.0)).alias("word_idf"))
     grouped = both.groupBy("query_id").agg(F.array_sort(F.collect_list(one)).alias("t"))
     return grouped.select("query_id", F.transform("t", lambda x: F.struct(x["token"].alias("token"), x["gram_idf"].alias("gram_idf"), x["word_idf"].alias("word_idf"))).alias("tokens"))
+
+
+def query_weights(wanted: DataFrame, terms: DataFrame, stats: DataFrame) -> DataFrame:
+    """(query_id, term, weight, byte) of wanted(query_id, term, tf): 1 + log10(N * tf / df) of each known term, scaled so that the squares of a
+    query's weights add up to 1, and the same as a byte. Terms that the index lacks have weight 0."""
+    from trawl.functions.similarity import quantise
+
+    found = wanted.join(terms.select("term", "df"), "term", "left").crossJoin(F.broadcast(stats.select("n_docs")))
+    raw = F.when(F.col("df").isNull(), 0.0).otherwise(1 + F.log10(F.col("n_docs") * F.col("tf") / F.col("df")))
+    sized = found.select("query_id", "term", raw.alias("raw")).withColumn("__norm", F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(W.partitionBy("query_id"))))
+    weight = F.when(F.col("__norm") > 0, F.col("raw") / F.col("__norm")).otherwise(0.0)
+    return sized.select("query_id", "term", weight.alias("weight"), quantise(weight).alias("byte"))

@@ -32,9 +32,20 @@ def single_char_score(char: Column, text: Column) -> Column:
 
 
 def single_char_search(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score) of all documents that contain the character of the query; q is its text."""
-    both = queries.select("query_id", "q").join(docs.select("doc_id", "lower_text"), F.contains("lower_text", F.col("q")))
-    return both.select("query_id", "doc_id", single_char_score(F.col("q"), F.col("lower_text")).alias("score"))
+    """(query_id, doc_id, score) of all documents that contain the character of the query; q is its text.
+
+    The characters of a document, each once, meet the queries on equality.
+    """
+    asked = queries.select("query_id", "q")
+    letters = docs.select("doc_id", "lower_text", F.explode(F.array_distinct(F.split("lower_text", ""))).alias("q"))
+    return asked.join(letters, "q").select("query_id", "doc_id", single_char_score(F.col("q"), F.col("lower_text")).alias("score"))
+
+
+def champion_search(queries: DataFrame, champions: DataFrame, k: int) -> DataFrame:
+    """(query_id, doc_id, score) of one-character queries for which k champions lie ready: these are the k best, since a document in which a word
+    begins with the character comes before every other. Queries with fewer champions have no rows."""
+    found = queries.select("query_id", F.col("q").alias("prefix")).join(champions, "prefix").where(F.col("rank") <= k)
+    return found.withColumn("__n", F.count("*").over(W.partitionBy("query_id"))).where(F.col("__n") >= k).select("query_id", "doc_id", "score")
 
 
 def short_precedence(q: Column, text: Column) -> Column:
@@ -50,6 +61,13 @@ def short_precedence(q: Column, text: Column) -> Column:
     return F.when(F.size(asked) >= 2, many).otherwise(single)
 
 
+def patterns(q: Column, min_word: int = 3, pad: int = 2) -> Column:
+    """What terms begin with if a text begins with q, or a word in it does; only those that a term can have as its beginning."""
+    padded = F.transform(F.sequence(F.lit(0), F.lit(min_word - 1)), lambda i: F.concat(F.lit(T.PAD * pad).substr(F.lit(1), F.greatest(F.lit(pad) - i, F.lit(0))), F.substring(q, F.lit(1), F.least(F.length(q), i + 1))))
+    every = F.array_distinct(F.concat(padded, F.array(F.concat(F.lit(" "), q))))
+    return F.filter(every, lambda p: F.length(p) >= F.least(F.lit(min_word), F.length(q) + 1))
+
+
 def short_search(queries: DataFrame, terms: DataFrame, postings: DataFrame, docs: DataFrame, min_word: int = 3, pad: int = 2, few: int = 100) -> DataFrame:
     """(query_id, doc_id, score) for queries all of whose words are shorter than a gram.
 
@@ -57,13 +75,17 @@ def short_search(queries: DataFrame, terms: DataFrame, postings: DataFrame, docs
     reach fewer than `few` documents so are matched by every term with one of their characters: tf, twice where the
     character begins a word in the term. Precedence comes before the score's share of the best one.
     """
-    patterns = F.array_distinct(F.concat(F.transform(F.sequence(F.lit(0), F.lit(min_word - 1)), lambda i: F.concat(F.expr(f"repeat('{T.PAD}', {pad})").substr(F.lit(1), F.greatest(F.lit(pad) - i, F.lit(0))), F.substring(F.col("q"), F.lit(1), F.least(F.length("q"), i + 1)))), F.array(F.concat(F.lit(" "), F.col("q")))))
-    wanted = queries.select("query_id", "q", F.explode(patterns).alias("pattern")).where(F.length("pattern") >= F.least(F.lit(min_word), F.length("q") + 1))
-    hit = wanted.join(terms.select("term"), F.startswith("term", F.col("pattern"))).select("query_id", "term").distinct()
+    wanted = queries.select("query_id", F.explode(patterns(F.col("q"), min_word, pad)).alias("pattern"))
+    sizes = [r.n for r in wanted.select(F.length("pattern").alias("n")).distinct().collect()]  # lengths of short queries
+    lengths = F.array(*map(F.lit, sorted(sizes))) if sizes else F.array().cast("array<int>")
+    begun = terms.select("term", F.explode(F.filter(lengths, lambda n: n <= F.length("term"))).alias("n")).select("term", F.substring(F.col("term"), F.lit(1), F.col("n")).alias("pattern"))
+    hit = wanted.join(begun, "pattern").select("query_id", "term").distinct()
     near = hit.join(postings, "term").groupBy("query_id", "doc_id").agg((F.sum(F.col("tf").cast("long")) * 10).alias("points"))
     reached = near.groupBy("query_id").agg(F.count("*").alias("n"))
-    poor = queries.join(reached, "query_id", "left").where(F.coalesce("n", F.lit(0)) < few).select("query_id", F.explode(F.array_distinct(F.filter(F.split("q", ""), lambda c: (c != "") & (c != " ")))).alias("char"))
-    shared = poor.join(terms.select("term"), F.contains("term", F.col("char"))).select("query_id", "term", F.when(F.contains("term", F.concat(F.lit(" "), F.col("char"))), 2).otherwise(1).alias("times"))
+    chars = F.array_distinct(F.filter(F.split("q", ""), lambda c: (c != "") & (c != " ")))
+    poor = queries.join(reached, "query_id", "left").where(F.coalesce("n", F.lit(0)) < few).select("query_id", F.explode(chars).alias("char"))
+    held = terms.select("term", F.explode(F.array_distinct(F.split("term", ""))).alias("char"))
+    shared = poor.join(held, "char").select("query_id", "term", F.when(F.contains("term", F.concat(F.lit(" "), F.col("char"))), 2).otherwise(1).alias("times"))
     best = shared.groupBy("query_id", "term").agg(F.max("times").alias("times"))
     wide = best.join(postings, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("tf").cast("long") * F.col("times")).alias("points"))
     every = near.unionByName(wide).groupBy("query_id", "doc_id").agg(F.sum("points").alias("points"))

@@ -26,6 +26,8 @@ class WordMatchConfig:
     max_delete: int = 8
     affix: bool = True
     min_affix: int = 3
+    #: Words of one affix that count, the first ones in the alphabet; None for all.
+    most_affixes: int | None = 4096
 
 
 @dataclass(frozen=True)
@@ -36,6 +38,12 @@ class IndexConfig:
     words: WordMatchConfig | None = field(default_factory=WordMatchConfig)
     #: Target length and overlap of passages.
     segment: tuple[int, float] | None = None
+    #: Terms of a query that count, its words first; None for all.
+    query_terms: int | None = 128
+    #: Also the text without its delimiters, and its grams.
+    high_resolution: bool = False
+    #: Terms within one edit that stand for a missing one; None for all.
+    most_expanded: int | None = 1024
 
     @property
     def min_word(self) -> int:
@@ -68,6 +76,12 @@ class CoverageConfig:
     truncate: bool = True
     truncation_score: float = 254.0
     prescreen: bool = False
+    #: Type-ahead queries that reach more documents than this are ranked by the first stage alone; None for no such limit.
+    short_covered: int | None = 500
+    #: Candidates that only words find count up to the depth of the search; off, all of them do.
+    limit_words: bool = True
+    #: Longer query words are not matched by edits.
+    max_edited_word: int = 63
 
     @staticmethod
     def minimal() -> CoverageConfig:

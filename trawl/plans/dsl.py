@@ -262,6 +262,28 @@ def from_json(text: str):
         raise ValueError(f"not a stored filter: {e}") from None
 
 
+def save_filter(spark, node, path: str) -> None:
+    """Write the tree of a filter (or of its text) to a file, in place of one that may be there."""
+    from trawl.sources.store import write_text
+
+    write_text(spark, path, to_json(parse(node) if isinstance(node, str) else node))
+
+
+def load_filter(spark, path: str):
+    """The tree that save_filter wrote; ValueError on anything else."""
+    from trawl.sources.store import read_text
+
+    return from_json(read_text(spark, path))
+
+
+def is_stored_filter(spark, path: str) -> bool:
+    try:
+        load_filter(spark, path)
+    except (ValueError, FileNotFoundError):
+        return False
+    return True
+
+
 def pretty(node) -> str:
     """The tree, fully parenthesised, in the filter language."""
     q = lambda v: f"'{v}'" if "'" not in v else f'"{v}"'

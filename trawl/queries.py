@@ -55,10 +55,10 @@ def _words(col: str) -> str:
     return f"list_filter(regexp_split_to_array({col}, '{_quoted(T.DELIMITER_CLASS)}+'), lambda x: x <> '')"
 
 
-def _bm25_ctes() -> str:
-    """docs, grams and words of the part names as postings p(term, id, tf), with lengths, n and average length."""
+def _bm25_ctes(source: str = "part", key: str = "p_partkey", text: str = "p_name") -> str:
+    """docs, grams and words of a table's text as postings p(term, id, tf), with lengths, n and average length."""
     return f"""
-    d AS (SELECT p_partkey AS id, lower({_norm("p_name")}) AS t FROM part),
+    d AS (SELECT {key} AS id, lower({_norm(text)}) AS t FROM {source}),
     occ AS (SELECT id, substr(chr(65535) || chr(65535) || t, i::INT, 3) AS term FROM (SELECT id, t, unnest(range(1, length(t) + 1)) AS i FROM d)
             UNION ALL SELECT id, w AS term FROM (SELECT id, unnest({_words("t")}) AS w FROM d) WHERE length(w) >= 3),
     p AS (SELECT term, id, least(count(*), 256) AS tf FROM occ GROUP BY ALL),
@@ -99,7 +99,7 @@ _filter("dsl_eq", "orders", ["o_orderkey", "o_orderstatus"], "o_orderstatus = 'f
 _filter("dsl_neq", "orders", ["o_orderkey"], "o_orderpriority != '5-low'", "NOT coalesce(lower(o_orderpriority) = '5-low', false)")
 _filter("dsl_in", "orders", ["o_orderkey", "o_orderpriority"], "o_orderpriority IN ('1-urgent', '2-HIGH')", "lower(o_orderpriority) IN ('1-urgent', '2-high')")
 _filter("dsl_range_num", "lineitem", ["l_orderkey", "l_linenumber"], "l_quantity > 40 AND l_discount <= 0.05", "l_quantity > 40 AND (l_discount <= 0.05 OR l_discount IS NULL)")
-_filter("dsl_between", "part", ["p_partkey", "p_retailprice"], "p_retailprice BETWEEN 1000 AND 1100.5", "p_retailprice BETWEEN 1000 AND 1100.5")
+_filter("dsl_between", "part", ["p_partkey", "p_size"], "p_size BETWEEN 10 AND 20", "p_size BETWEEN 10 AND 20")
 _filter("dsl_contains", "documents", ["doc_id"], "text CONTAINS 'Tion'", "contains(lower(coalesce(text, '')), 'tion')")
 _filter("dsl_starts", "part", ["p_partkey", "p_name"], "p_name STARTS WITH 'RED'", "starts_with(lower(coalesce(p_name, '')), 'red')")
 _filter("dsl_ends", "part", ["p_partkey", "p_name"], "p_name ENDS WITH 'Ring'", "ends_with(lower(coalesce(p_name, '')), 'ring')")
@@ -116,8 +116,14 @@ def _labelled(spark, sf_dir):
 _LABELLED = "(SELECT d.doc_id, quality, toxic FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"
 
 
-@query(f"SELECT doc_id FROM {_LABELLED} WHERE quality IS NULL OR quality < 1")
+@query(f"SELECT doc_id FROM {_LABELLED} WHERE quality IS NULL")
 def dsl_null(spark, sf_dir):
+    return dsl.where(_labelled(spark, sf_dir), "quality IS NULL").select("doc_id")
+
+
+@query(f"SELECT doc_id FROM {_LABELLED} WHERE quality IS NULL OR quality < 1")
+def dsl_null_range(spark, sf_dir):
+    """A null is below every number."""
     return dsl.where(_labelled(spark, sf_dir), "quality < 1").select("doc_id")
 
 
@@ -155,8 +161,7 @@ p AS (SELECT term, id, least(count(*), 256) AS tf FROM occ GROUP BY ALL)
 SELECT id AS doc_id, count(*) AS n_terms, sum(tf)::BIGINT AS dl FROM p GROUP BY id""")
 def doc_lengths(spark, sf_dir):
     own = I.prepare(table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "key"), [FieldSpec("text")], "key")
-    per = I.postings(own, IndexConfig()).groupBy("doc_id").agg(F.count("*").alias("n_terms"), F.sum(F.col("tf").cast("long")).alias("dl"))
-    return per.select((F.col("doc_id") / (1 << 20)).cast("long").alias("doc_id"), "n_terms", "dl")
+    return I.doc_lengths(own, IndexConfig()).select(F.shiftright("doc_id", 20).alias("doc_id"), "n_terms", "dl")
 
 
 @query(f"WITH {_bm25_ctes()} SELECT term, id AS doc_key, tf::INT AS tf FROM p")
@@ -209,9 +214,9 @@ def _bm25_sql(k: int) -> str:
 
 @query(_bm25_sql(20))
 def bm25_topk(spark, sf_dir):
-    i = part_index(spark, sf_dir)
+    i = stored_parts(spark, sf_dir)
     p = retrieve.prepare_queries(asked(spark), i.config)
-    scored = retrieve.bm25_scores(retrieve.query_terms(p, i.config), i.terms, i.postings, i.lengths, i.stats)
+    scored = retrieve.bm25_scores(retrieve.query_terms(p, i.config), i.terms, i.postings, i.lengths, i.stats, variants=i.variants)
     rounded = scored.withColumn("score", F.round("score", 6))
     return retrieve.top(rounded, 20).select("query_id", F.shiftright("doc_id", 20).alias("doc_key"), "score", F.col("rank").cast("long").alias("rank"))
 
@@ -418,20 +423,12 @@ def jaro_pairs(spark, sf_dir):
     )
 
 
-@query()
+@query(f"""WITH {_VOCAB}, q AS (SELECT term AS query_id, substr(term, 1, 4) AS q FROM b), u AS (SELECT DISTINCT q FROM q), x AS (SELECT q, word, (SELECT min(levenshtein(q, substr(word, 1, i::INT))) FROM range(0, 6) r(i))::INT AS distance FROM u JOIN v ON length(word) >= 0)
+SELECT query_id, word, distance, rank FROM (SELECT query_id, word, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, length(word) DESC, word) AS rank FROM q JOIN x USING (q) WHERE distance <= 1) WHERE rank <= 10""")
 def autocomplete(spark, sf_dir):
     words = _vocabulary(spark, sf_dir).select(F.col("term").alias("word"), F.length("term").alias("weight"))
-    return S.complete(_bench_words(spark, sf_dir).select(F.col("term").alias("query_id"), F.substring("term", 1, 4).alias("q")), words)
-
-
-# ---- mutation
-
-
-@query("""WITH gone AS (SELECT doc_id FROM labels WHERE toxic = 1), live AS (SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM gone))
-SELECT lang, count(*) AS n, min(doc_id) AS lowest FROM live GROUP BY lang""")
-def delete_compact(spark, sf_dir):
-    gone = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
-    return table(spark, sf_dir, "documents").join(gone, "doc_id", "left_anti").groupBy("lang").agg(F.count("*").alias("n"), F.min("doc_id").alias("lowest"))
+    got = S.complete(_bench_words(spark, sf_dir).select(F.col("term").alias("query_id"), F.substring("term", 1, 4).alias("q")), words)
+    return got.withColumn("rank", F.col("rank").cast("long"))
 
 
 # ---- searches
@@ -470,3 +467,6 @@ def synonym_search(spark, sf_dir):
     index = stored_parts(spark, sf_dir, synonyms=Synonyms([["ring", "circlet"], ["tiny", "small"]]))
     queries = spark.createDataFrame([("s1", "tiny circlet"), ("s2", "circlet")], "query_id string, text string")
     return SearchEngine(index).search(queries, k=20).records
+
+
+from trawl import index_queries  # noqa: E402, F401  (registers more of them, with what is above)
