@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from trawl.functions import similarity as S
 from trawl.functions import text as T
-from trawl.operators import fuse, masks, post, retrieve, short
+from trawl.operators import coverage, fuse, masks, post, retrieve, short
 from trawl.operators import index as I
 from trawl.operators.synonyms import Synonyms
 from trawl.plans import dsl
-from trawl.plans.config import FieldSpec, IndexConfig
+from trawl.plans.config import CoverageConfig, FieldSpec, IndexConfig
 from trawl.queries import IDF, PART_FIELDS, SQL, _bm25_ctes, _norm, _quoted, _words, query, stored, stored_parts, table
 from trawl.sources import store
 from trawl.sources.shared import cut, fresh
@@ -347,6 +347,41 @@ def prefix_positions(spark, sf_dir):
     return short.prefix_lookup(stored_parts(spark, sf_dir).prefixes, "re", True).select(_doc_key(), "position")
 
 
+# ---- coverage
+
+_COVERED = [("a", "red"), ("b", "small ring"), ("c", "ring blue zzz"), ("d", "gear"), ("e", "zz")]
+
+
+def _covered(spark, sf_dir) -> DataFrame:
+    """Every part name under some queries, words matched whole."""
+    rows = [(i, t, [(w, 1.0, 1.0) for w in t.split()]) for i, t in _COVERED]
+    asked = spark.createDataFrame(rows, "query_id string, q string, tokens array<struct<token:string,gram_idf:double,word_idf:double>>")
+    docs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("norm_text"))
+    every = docs.crossJoin(F.broadcast(asked)).withColumn("base", F.lit(0.0))  # five rows
+    return coverage.with_features(every, CoverageConfig(joined=False, affix=False, fuzzy=False))
+
+
+_COVER = f"""q AS (SELECT * FROM (VALUES {", ".join(f"('{a}', '{b}')" for a, b in _COVERED)}) v(query_id, q)), d AS (SELECT p_partkey AS doc_id, lower(p_name) AS t, {_words("lower(p_name)")} AS w FROM part),
+x AS (SELECT *, string_split(q, ' ') AS tok, list_distinct(list_filter(w, lambda y: length(y) >= 2)) AS u0, len(list_filter(w, lambda y: length(y) >= 2)) AS doc_tokens,
+      len(list_filter(range(1, least(length(q), length(t)) + 1), lambda i: substr(q, 1, i::INT) = substr(t, 1, i::INT))) AS pre FROM q, d),
+f AS (SELECT *, list_filter(tok, lambda y: list_contains(u0, y)) AS hit, list_filter(w, lambda y: length(y) >= 2) AS dw FROM x),
+g AS (SELECT *, len(hit) AS n_hit, CASE WHEN contains(t, q) THEN length(q) WHEN pre = 0 THEN 0 ELSE least(pre + CASE WHEN length(q) >= 5 THEN floor(length(q) * 0.2) ELSE 0 END, length(q), length(t)) END AS lcs,
+      coalesce(list_min(list_transform(hit, lambda y: strpos(' ' || t || ' ', ' ' || y || ' ') - 1)), -1) AS first_match FROM f)"""
+
+
+@query(f"""WITH {_COVER} SELECT query_id, doc_id, len(tok)::INT AS terms_count, n_hit::INT AS terms_any, n_hit::INT AS terms_strict, n_hit::INT AS terms_prefix, n_hit::INT AS word_hits, first_match::INT AS first_match, doc_tokens::INT AS doc_tokens, lcs::INT AS lcs,
+round(CASE WHEN len(tok) = 1 AND lcs > 0 THEN greatest(n_hit, least(1.0, lcs / length(q)::DOUBLE)) ELSE n_hit END, 6)::DOUBLE AS sum_ci, round(n_hit / len(tok)::DOUBLE, 6) AS idf_coverage FROM g""")
+def coverage_whole(spark, sf_dir):
+    names = ["terms_count", "terms_any", "terms_strict", "terms_prefix", "word_hits", "first_match", "doc_tokens", "lcs"]
+    return _covered(spark, sf_dir).select("query_id", "doc_id", *names, F.round("sum_ci", 6).alias("sum_ci"), F.round("idf_coverage", 6).alias("idf_coverage"))
+
+
+@query(f"WITH {_COVER} SELECT query_id, doc_id, (CASE WHEN n_hit = 1 THEN 196608 + CASE WHEN first_match = 0 THEN 32 ELSE 16 END ELSE 0 END)::INT AS precedence, 0 AS tiebreaker FROM g WHERE len(tok) = 1")
+def fused_precedence(spark, sf_dir):
+    """Precedence of one-word queries: the word is there, as itself, and where."""
+    return fuse.fuse(_covered(spark, sf_dir).where("terms_count = 1")).select("query_id", "doc_id", "precedence", "tiebreaker")
+
+
 # ---- after ranking
 
 

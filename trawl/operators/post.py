@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from trawl.functions.text import net_string
 from trawl.plans import dsl
 from trawl.plans.config import FieldSpec
+from trawl.sources.shared import cut
 
 STRENGTHS = {"low": 1, "med": 2, "high": 3}
 #: The score of every document when a query has no text.
@@ -38,6 +39,24 @@ def rank(results: DataFrame, k: int | Column | None = None, first: list[Column]
     return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
+def rank_many(results: DataFrame, first: list[Column] | None = None) -> DataFrame:
+    """rank() where a query may have results without bound: no task sorts all of one query.
+
+    Rows are range-partitioned by query and order and written in that order; a row's rank is its place in its partition, and the rows of its query in the
+    partitions before. Only counts per query and partition, no more than queries and partitions together, go to every task. Rows that are
+    equal in all of the order and in doc_id have ranks of their own.
+    """
+    order = [F.asc("query_id"), *_order(*(first or [])), F.asc("doc_id")]
+    sorted_ = results.drop("rank").repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = cut(sorted_.withColumn("__at", F.monotonically_increasing_id()), "ranked")
+    placed = placed.withColumn("__part", F.shiftright("__at", 33))
+    per = placed.groupBy(F.col("query_id").alias("__query"), F.col("__part").alias("__p")).agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
+    before = F.coalesce(F.sum("__n").over(W.partitionBy("__query").orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    per = per.select("__query", "__p", "__first", before.alias("__before"))
+    ranked = placed.join(per, F.col("query_id").eqNullSafe(F.col("__query")) & (F.col("__part") == F.col("__p")))
+    return ranked.withColumn("rank", (F.col("__before") + F.col("__at") - F.col("__first") + 1).cast("long")).drop("__at", "__part", "__query", "__p", "__first", "__before")
+
+
 def consolidate(results: DataFrame) -> DataFrame:
     """Of each query's rows with one doc_key the best: by score, tiebreaker, then the lower doc_id."""
     order = W.partitionBy("query_id", "doc_key").orderBy(F.desc("score"), F.desc("tiebreaker"), "doc_id")
@@ -87,11 +106,12 @@ def sort_column(field: str, dtype: str, ascending: bool) -> Column:
     return col.asc_nulls_first() if ascending else col.desc_nulls_last()
 
 
-def sort_by(results: DataFrame, docs: DataFrame, field: str, ascending: bool = True, k: int | None = None) -> DataFrame:
-    """results ranked by a field of their documents instead of by score."""
+def sort_by(results: DataFrame, docs: DataFrame, field: str, ascending: bool = True, k: int | None = None, many: bool = False) -> DataFrame:
+    """results ranked by a field of their documents instead of by score; many as in rank_many()."""
     own = docs.select("doc_id", F.col(field).alias("__sort"))
-    dtype = dict(docs.dtypes)[field]
-    return rank(results.join(own, "doc_id"), k, [sort_column("__sort", dtype, ascending)]).drop("__sort")
+    first = [sort_column("__sort", dict(docs.dtypes)[field], ascending)]
+    found = results.join(own, "doc_id")
+    return (rank_many(found, first) if many else rank(found, k, first)).drop("__sort")
 
 
 def _named(values: Column, name: str) -> Column:

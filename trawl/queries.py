@@ -350,14 +350,14 @@ def _scored_docs(spark, sf_dir):
 SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM s""")
 def boost_rank(spark, sf_dir):
     own, d = _scored_docs(spark, sf_dir)
-    got = post.rank(post.apply_boosts(own, d, [post.Boost("lang = 'en'", "high"), post.Boost("n_chars > 5000", "low")]))
+    got = post.rank_many(post.apply_boosts(own, d, [post.Boost("lang = 'en'", "high"), post.Boost("n_chars > 5000", "low")]))
     return got.select("doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query("SELECT doc_id, row_number() OVER (ORDER BY lang ASC NULLS FIRST, (n_chars % 97) DESC, doc_id) AS rank FROM documents")
 def sort_field(spark, sf_dir):
     own, d = _scored_docs(spark, sf_dir)
-    return post.sort_by(own, d, "lang").select("doc_id", F.col("rank").cast("long").alias("rank"))
+    return post.sort_by(own, d, "lang", many=True).select("doc_id", "rank")
 
 
 @query("SELECT doc_id, score, rank FROM (SELECT doc_id, (n_chars % 97)::DOUBLE AS score, row_number() OVER (ORDER BY n_chars % 97 DESC, doc_id) AS rank FROM documents WHERE lower(lang) = 'en') WHERE rank <= 50")
