@@ -81,8 +81,22 @@ def test_odd_tables(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert {str(r.doc_id) for r in got} >= {"3"}
+    docs, rest = table(spark, str(tmp_path), "documents"), []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        rest.append(sorted(((r.doc_id, r.text, r.source) for r in docs.collect()), key=str))
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    whole = sorted(((r[0], r[1], r[3]) for r in rows), key=str)
+    assert rest[0] == whole  # without labels all stay
+    assert rest[1] == sorted({*whole}, key=str) == rest[2]  # the repeated row goes, nulls stay
+    assert {str(i) for i, *_ in rest[3]} >= {"1", "2"}  # sources without tokens keep their rate of 1
+    per = collections.Counter()
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        per[str(r.doc_id)] += r.n_tokens
+    want = collections.Counter()
+    for i, t, _ in rest[3]:
+        want[str(i)] += len((t or "").split())
+    assert per == want
     spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/empty/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/empty/labels.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0

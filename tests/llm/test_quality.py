@@ -87,6 +87,27 @@ def test_counts_stand_for_rows():
     assert quality.calibrate(scores, good, 2.0, n) == quality.calibrate(np.repeat(scores, n), np.repeat(good, n), 2.0)
 
 
+def test_threshold_ties_and_missing_sides():
+    assert quality.calibrate(np.array([0.2, 0.4, 0.4, 0.6]), np.array([True, True, False, False]), 1.0) == 0.4  # of a good and a bad row with one score
+    assert quality.calibrate(np.array([0.3, 0.5]), np.array([True, True])) == 0.5 and quality.calibrate(np.array([0.3]), np.array([False])) == float("inf")
+    assert quality.calibrate(np.array([0.3, 0.3, 0.3]), np.array([True, False, False]), 1.0) == 0.3
+    rng = np.random.default_rng(1)
+    for cost in (0.5, 3.0):
+        scores, good = rng.integers(0, 12, 60) / 12, rng.random(60) < 0.6
+        gain = lambda t: np.mean(scores[~good] > t) - cost * np.mean(scores[good] > t)  # noqa: B023, E731
+        at = [t for t in sorted(set(scores)) if t <= scores[good].max()]
+        best = max(map(gain, at))
+        assert quality.calibrate(scores, good, cost) == max(t for t in at if gain(t) > best - 1e-12)
+
+
+def test_driver_rows_stay_bounded(spark):
+    """A labelled key that a third of the documents have brings no more than fit_rows rows to the driver."""
+    docs = spark.createDataFrame([(1 if k % 3 == 0 else k, f"plain words number {k} of a text") for k in range(900)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1) for k in range(60)], "doc_id long, quality int")
+    forest, threshold = quality.fit(docs, labels, fit_rows=50)
+    assert forest.rows == 50 and threshold < 1
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, 0.5), (None, "", 0.5), (2, "a b c", 0.5), (2, "a b c", 0.5), (3, "!!! " * 90000, 0.5)], "doc_id long, text string, score double")
     none = spark.createDataFrame([], "doc_id long, quality int")

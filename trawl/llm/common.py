@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one round of array work holds; its arrays take about 40 times as much.
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 400_000
 
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 1 << 64)
@@ -25,15 +27,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's folder for tables that cut lineage; one of our own only where none is set, as in tests."""
-    conf = spark.sparkContext.getConf()
-    base = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that spark.checkpoint.dir names. Where it is unset a local master gets one of its own, as in tests; a cluster gets an error,
+    since a machine-local folder would be another one on each executor."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="trawl-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+_made: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("trawl_llm_made", default=None)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: a lost executor then costs no recomputation.
 
@@ -41,10 +48,34 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if (made := _made.get()) is not None:
+        made.append(path)
     df.write.parquet(path, compression="zstd")
     return spark.read.schema(df.schema).parquet(path)
 
 
+def final(spark: SparkSession, work: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What work() makes, written; the tables that were cut on the way to it are removed again."""
+    made: list[str] = []
+    token = _made.set(made)
+    try:
+        got = work()
+    except BaseException:
+        _made.reset(token)
+        _remove(spark, made)
+        raise
+    _made.reset(token)
+    out = cut(got, name)
+    _remove(spark, made)
+    return out
+
+
+def _remove(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def n_words(text: Column | str) -> Column:
     """Maximal runs of characters that are not white space; null counts as none."""
     return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long")

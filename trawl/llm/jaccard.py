@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawl.llm.common import WordHasher, cut, grams, mix, slices, table
+from trawl.llm.common import WordHasher, cut, final, grams, mix, slices, table
 
 GRAM, THRESHOLD = 3, 0.55
 #: A chunk of so many keys that holds one n-gram in so many documents makes it a frequent one. At most HOT_KEYS are kept, the
 #: most frequent; which they are has no bearing on the result.
-CHUNK_KEYS, CHUNK_TIMES, HOT_KEYS = 2_000_000, 3, 1_000_000
+CHUNK_KEYS, CHUNK_TIMES, HOT_KEYS = 1_000_000, 3, 1_000_000
 #: Sketches of a set, and min-hashes of each.
 SKETCHES, SKETCH_HASHES = 4, 3
 #: Sets measured against one pivot in one task.
@@ -41,9 +41,11 @@ STRONG = 4
 #: First keys that one task holds.
 BUCKET_KEYS = 1 << 22
 #: Pairs that share one key, held at a time.
-BLOCK_PAIRS = 1 << 20
+BLOCK_PAIRS = 1 << 19
+#: Bytes of sets after which they are sent on.
+SENT_BYTES = 1 << 23
 #: Sets and keys of one side of a cell, about.
-CELL_SETS, CELL_KEYS = 1024, 1 << 22
+CELL_SETS, CELL_KEYS = 1024, 1 << 20
 #: Undecided pairs that are compared at once, without another pivot.
 AT_ONCE = 1 << 16
 #: Sets of this many rows or fewer are looked up by a broadcast (some 50 bytes each), beyond it by a shuffled join.
@@ -156,13 +158,20 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     def run(batches):
         hasher = WordHasher()
         for batch in batches:
-            sids, rows, out = batch.column(2).to_numpy(), [], []
+            sids, rows, out, held = batch.column(2).to_numpy(), [], [], 0
             for i, keys in _sets(batch, hasher, n):
                 if _sid(keys) == sids[i]:
                     rows.append(i)
                     out.append(keys.tobytes())
-            at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(2).take(at), batch.column(3).take(at), pa.array(out, pa.binary())], ["sid", "tags", "keys"])
+                    held += len(out[-1])
+                    if held > SENT_BYTES:
+                        yield sent(batch, rows, out)
+                        rows, out, held = [], [], 0
+            yield sent(batch, rows, out)
+
+    def sent(batch, rows, out):
+        at = pa.array(rows, pa.int64())
+        return pa.RecordBatch.from_arrays([batch.column(2).take(at), batch.column(3).take(at), pa.array(out, pa.binary())], ["sid", "tags", "keys"])
 
     tags = wanted.schema["tags"].dataType.simpleString()
     return found.mapInArrow(run, f"sid bigint, tags {tags}, keys binary")
@@ -231,18 +240,21 @@ def _spread(docs: DataFrame, hot, n: int, t: float, buckets: int) -> DataFrame:
     return docs.mapInArrow(run, "bucket int, sid bigint, size bigint, keys binary")
 
 
-def _count_pairs(keys: np.ndarray, owner: np.ndarray, group: np.ndarray, n: int):
-    """(i, j, how many keys they have in common) of all i < j of n owners of different groups with a key in common; owner and group ascend.
+def _count_pairs(codes: np.ndarray, group: np.ndarray, n: int):
+    """(i, j, how many keys they have in common) of all i < j of n owners of different groups with a key in common; group ascends with the owner.
 
-    Comes in blocks of ascending i, each with all its pairs, so memory is that of a block however many pairs there are in all.
+    codes are the keys in the upper, their owners in the lower 32 bits; they are sorted in place. Pairs
+    come in blocks of ascending i, each with all its pairs, so memory is that of a block however many pairs there are in all.
     """
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
+    codes.sort()
+    keys = (codes >> np.uint64(32)).astype(np.uint32)
     same = keys[1:] == keys[:-1]
-    again = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(keys) else np.zeros(0, bool)
     # keys of one owner alone make no pairs
-    keys, owner = keys[again], owner[order[again]]
-    del order, same, again
+    again = np.zeros(len(codes), bool)
+    again[1:] |= same
+    again[:-1] |= same
+    keys, owner = keys[again], codes[again].astype(np.uint32).astype(np.int64)
+    del same, again
     if not len(keys):
         return
     new_key = np.concatenate([[True], keys[1:] != keys[:-1]])
@@ -284,18 +296,24 @@ def _candidates(spread: DataFrame, t: float, buckets: int) -> DataFrame:
         sids, size = (np.concatenate([b.column(i).to_numpy() for b in parts]) for i in (1, 2))
         lone = np.concatenate([b.column(4).is_null().to_numpy(zero_copy_only=False) for b in parts])
         home = np.where(lone, sids, np.concatenate([b.column(4).fill_null(0).to_numpy() for b in parts]))
-        keys = np.concatenate([_binary(b.column(3), np.uint32) for b in parts])
         n_keys = np.concatenate([_lengths(b.column(3)) for b in parts]) // 4
-        starts = np.concatenate([[0], np.cumsum(n_keys)])
         own = np.unique(sids, return_index=True)[1]
         own = own[np.lexsort((sids[own], home[own], lone[own]))]  # the lone ones last
-        sids, size, n_keys, lone, home = sids[own], size[own], n_keys[own], lone[own], home[own]
-        n = len(sids)
-        at = np.repeat(starts[own] - np.concatenate([[0], np.cumsum(n_keys)[:-1]]), n_keys) + np.arange(n_keys.sum())
+        n, nobody = len(own), np.uint32(0xFFFFFFFF)
+        rank = np.full(len(sids), nobody)
+        rank[own] = np.arange(n, dtype=np.uint32)
+        keys = np.concatenate([_binary(b.column(3), np.uint32) for b in parts])
+        del parts
+        codes = keys.astype(np.uint64) << np.uint64(32)
+        del keys
+        codes |= np.repeat(rank, n_keys)
+        if n < len(sids):
+            codes = codes[codes.astype(np.uint32) != nobody]
+        sids, size, lone, home = sids[own], size[own], lone[own], home[own]
         group = np.cumsum(np.concatenate([[True], lone[1:] | (home[1:] != home[:-1])]))
         pivot, lones, others = np.arange(n), [], []
-        pairs = _count_pairs(keys[at], np.repeat(np.arange(n, dtype=np.int32), n_keys), group, n)
-        del parts, keys, at, starts, own
+        pairs = _count_pairs(codes, group, n)
+        del own, rank, n_keys
         for a, b, shared in pairs:
             ok = np.minimum(size[a], size[b]) >= t * np.maximum(size[a], size[b]) - TINY
             a, b, shared = a[ok], b[ok], shared[ok]
@@ -601,21 +619,26 @@ def components(edges: DataFrame) -> DataFrame:
     state = None
     while True:
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen:
+        if state == seen or not seen[0]:
             return now.select(F.col("u").alias("id"), F.col("v").alias("root"))
-        state = seen
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        large = cut(large, "stars")
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        starred = large.join(lowest, "u")
-        small = starred.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lowest.select("u", F.col("m").alias("v"))).distinct()
-        now = cut(small, "stars")
+        state, now = seen, final(edges.sparkSession, lambda now=now: _stars(now), "stars")
+
+
+def _stars(now: DataFrame) -> DataFrame:
+    both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+    large = cut(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct(), "stars")
+    lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+    small = large.join(lowest, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct()
 
 
 def _classes(df: DataFrame, key: str, text: str, n: int, t: float) -> DataFrame:
     """(id, sid, root, n_links) of each document with a link; a class is that of its root."""
+    return final(df.sparkSession, lambda: _class_rows(df, key, text, n, t), "jaccard-classes")
+
+
+def _class_rows(df: DataFrame, key: str, text: str, n: int, t: float) -> DataFrame:
     p = _prepare(df, key, text, n, t, True)
     found = cut(_links_in(_cells(p["docs"], p["reps"], p["homes"], p["across"], p["lone"], n), t), "jaccard-links")
     homes, reps = p["homes"], p["reps"].select("sid", "n")
@@ -629,7 +652,7 @@ def _classes(df: DataFrame, key: str, text: str, n: int, t: float) -> DataFrame:
     edges = found.where("b IS NOT NULL").select("a", "b").join(to, "b", "left").select("a", F.coalesce("__home", "b").alias("b"))
     roots = components(edges)
     placed = linked.join(homes, "sid", "left").withColumn("v", F.coalesce("home", "sid")).join(roots.select(F.col("id").alias("v"), "root"), "v", "left")
-    return cut(placed.select("sid", F.coalesce("root", "v").alias("root"), "n_links").join(p["copies"], "sid").select("id", "sid", "root", "n_links"), "jaccard-classes")
+    return placed.select("sid", F.coalesce("root", "v").alias("root"), "n_links").join(p["copies"], "sid").select("id", "sid", "root", "n_links")
 
 
 def classes(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = GRAM, threshold: float = THRESHOLD) -> DataFrame:

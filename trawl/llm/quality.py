@@ -215,7 +215,11 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", **fitting) -> DataFrame:
-    """The rows of docs that the forest keeps, with all columns of docs."""
+    """The rows of docs that the forest keeps, with all columns of docs, those named like a statistic too.
+
+    As in judge(): null and empty texts have statistics 0 and are judged by them, long texts are read whole, repeated rows and equal texts share their fate,
+    scores equal to the threshold stay, and without good labelled rows all stay. An empty table gives an empty table.
+    """
     forest, threshold = fit(docs, labels, key=key, text=text, **fitting)
 
     @F.arrow_udf("boolean")

@@ -123,7 +123,11 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = W
 
 
 def redact(df: DataFrame, text: str = "text", length: str | None = "n_chars", mask: str = MASK, window: int = WINDOW, thresholds: dict[str, float] | None = None, allow: tuple[str, ...] = ALLOW) -> DataFrame:
-    """df with each secret in text replaced by mask, and the column length, if df has it, brought up to date in changed rows."""
+    """df with each secret in text replaced by mask, and the column length, if df has it, brought up to date in changed rows.
+
+    All rows and columns stay: null and empty texts as they are, long ones masked whole, repeated rows each, null keys too, and a column named like any of
+    scan()'s is left alone. Where several classes reach their threshold the secret is masked once. An empty table gives an empty table.
+    """
     scanner = Scanner(window, thresholds, allow)
 
     @F.arrow_udf("string")
