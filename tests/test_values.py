@@ -241,6 +241,27 @@ def test_limits_can_be_lifted(spark):
     assert more > sizes[2]
 
 
+def test_rank_many(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), k, k % 50, float(rng.randrange(6)), rng.randrange(2)) for k in range(700)]
+    df = spark.createDataFrame(rows, "query_id string, doc_id long, doc_key long, score double, tiebreaker int")
+    want = {(r.query_id, r.doc_id): r["rank"] for r in post.rank(df).collect()}
+    assert {(r.query_id, r.doc_id): r["rank"] for r in post.rank_many(df).collect()} == want and len(want) == 700
+    assert post.rank_many(df.where("false")).count() == 0
+
+
+def test_searches_meet_on_equality(spark, books):
+    """No nested loop over documents or vocabulary: what is joined without a key is one row of statistics."""
+    i = books.index
+    prepared = retrieve.prepare_queries(spark.createDataFrame([("a", "harry potter"), ("b", "duen"), ("c", "s")], TEXT), i.config)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    words = plan(retrieve.word_candidates(prepared, i.words, i.deletes, i.config.words, i.word_idf))
+    assert "NestedLoop" not in words and "CartesianProduct" not in words
+    first = plan(books.first_stage(prepared, i.docs, 10, 3))
+    loops = re.findall(r"BroadcastNestedLoopJoin.*", first)
+    assert "CartesianProduct" not in first and all(re.search(r"Build(Left|Right), (Cross|Inner)$", x.strip()) for x in loops)  # one row of statistics, no condition
+
+
 def test_stop_terms(spark, tmp_path):
     docs = spark.createDataFrame([(k, "common word" if k < 8 else "rare word") for k in range(10)], "doc_key long, content string")
     index = store.save(docs, str(tmp_path / "i"), [FieldSpec("content")], config=IndexConfig(stop_term_limit=8))

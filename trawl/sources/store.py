@@ -18,11 +18,13 @@ that fails or is run again leaves files that no description names. Tables lie so
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from trawl.operators import index as I
 from trawl.operators.index import Index, postings, prepare
@@ -129,6 +131,13 @@ def _write(df: DataFrame, path: str, by: str | None = None) -> None:
     out.write.mode("overwrite").parquet(path, compression="zstd")
 
 
+def _together(*steps) -> None:
+    """Run independent writes at once, so that small ones do not wait for each other; the first error is raised when all have ended."""
+    with ThreadPoolExecutor(len(steps)) as pool:
+        for done in [pool.submit(inheritable_thread_target(s)) for s in steps]:
+            done.result()
+
+
 def _parts(spark: SparkSession, path: str, table: str, batches: list[int]) -> DataFrame:
     return spark.read.option("basePath", f"{path}/{table}").parquet(*(f"{path}/{table}/batch={b}" for b in batches))
 
@@ -158,12 +167,11 @@ def _derived(spark: SparkSession, path: str, meta: dict, dead: DataFrame | None)
     if meta["batches"] and meta["batches"][-1] == n:
         at = f"batch={n}"
         docs = spark.read.parquet(f"{path}/docs/{at}")
-        _write(postings(docs, config), f"{path}/postings/{at}", "term")
+        _together(
+            lambda: _write(postings(docs, config), f"{path}/postings/{at}", "term"), lambda: _write(I.doc_lengths(docs, config), f"{path}/lengths/{at}", "doc_id"),
+            lambda: _write(I.word_table(docs), f"{path}/words/{at}", "word"), lambda: _write(I.prefix_table(docs), f"{path}/prefixes/{at}", "prefix"),
+        )
         post = spark.read.parquet(f"{path}/postings/{at}")
-        _write(I.doc_lengths(docs, config), f"{path}/lengths/{at}", "doc_id")
-        _write(I.word_table(docs), f"{path}/words/{at}", "word")
-        _write(I.prefix_table(docs), f"{path}/prefixes/{at}", "prefix")
-        _write(I.champions(spark.read.parquet(f"{path}/prefixes/{at}"), docs), f"{path}/champions/{at}", "prefix")
         terms.append(_counts(post, "term", 1))
         vocabulary.append(_counts(spark.read.parquet(f"{path}/words/{at}"), "word", 1))
         meta["n_docs"] += docs.count()
@@ -175,20 +183,31 @@ def _derived(spark: SparkSession, path: str, meta: dict, dead: DataFrame | None)
         vocabulary.append(_counts(I.word_table(dead), "word", -1))
         meta["n_docs"] -= dead.count()
         meta["total_length"] -= post.agg(F.sum(F.col("tf").cast("long"))).first()[0] or 0
-    for name, by, parts in (("terms", "term", terms), ("vocabulary", "word", vocabulary)):
-        if parts:
-            every = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-            _write(every.groupBy(by).agg(F.sum("df").alias("df")).where("df <> 0"), f"{path}/{name}/batch={n}", by)
+
+    def counts(name: str, by: str, parts: list) -> None:
+        every = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        _write(every.groupBy(by).agg(F.sum("df").alias("df")).where("df <> 0"), f"{path}/{name}/batch={n}", by)
+
     if terms:
+        _together(lambda: counts("terms", "term", terms), lambda: counts("vocabulary", "word", vocabulary))
         meta["counted"] = [*meta["counted"], n]
     if meta["batches"] and meta["batches"][-1] == n:
-        words = spark.read.parquet(f"{path}/vocabulary/batch={n}").where("df > 0").select("word")
-        _write(I.delete_table(words, config.words or WordMatchConfig()), f"{path}/deletes/batch={n}", "variant")
-        _write(I.variant_table(spark.read.parquet(f"{path}/terms/batch={n}").where("df > 0").select("term")), f"{path}/variants/batch={n}", "variant")
+        _spelled(spark, path, n, config, docs)
     if dead is not None:
         post.unpersist()
 
 
+def _spelled(spark: SparkSession, path: str, n: int, config: IndexConfig, docs: DataFrame) -> None:
+    """What is made of the words, terms and prefixes of batch n."""
+    at = f"batch={n}"
+    words, terms = (spark.read.parquet(f"{path}/{t}/{at}").where("df > 0") for t in ("vocabulary", "terms"))
+    _together(
+        lambda: _write(I.delete_table(words.select("word"), config.words or WordMatchConfig()), f"{path}/deletes/{at}", "variant"),
+        lambda: _write(I.variant_table(terms.select("term")), f"{path}/variants/{at}", "variant"),
+        lambda: _write(I.champions(spark.read.parquet(f"{path}/prefixes/{at}"), docs), f"{path}/champions/{at}", "prefix"),
+    )
+
+
 def _publish(spark: SparkSession, path: str, meta: dict) -> None:
     _Files(spark, path).write(f"meta/{meta['state']}.json", json.dumps(meta))
 
@@ -344,13 +363,10 @@ def compact(spark: SparkSession, path: str) -> None:
     tables = {t: _live(spark, path, meta, t).drop("batch") for t in OF_DOCUMENTS}
     meta["state"] += 1
     at, config = f"batch={meta['state']}", _config(meta["config"])
-    for name, rows in tables.items():
-        _write(rows, f"{path}/{name}/{at}", SORTED_BY[name])
-    for name, of, by in (("terms", "postings", "term"), ("vocabulary", "words", "word")):
-        _write(_counts(spark.read.parquet(f"{path}/{of}/{at}"), by, 1), f"{path}/{name}/{at}", by)
-    _write(I.champions(spark.read.parquet(f"{path}/prefixes/{at}"), spark.read.parquet(f"{path}/docs/{at}")), f"{path}/champions/{at}", "prefix")
-    _write(I.delete_table(spark.read.parquet(f"{path}/vocabulary/{at}").select("word"), config.words or WordMatchConfig()), f"{path}/deletes/{at}", "variant")
-    _write(I.variant_table(spark.read.parquet(f"{path}/terms/{at}").select("term")), f"{path}/variants/{at}", "variant")
+    _together(*(lambda name=name, rows=rows: _write(rows, f"{path}/{name}/{at}", SORTED_BY[name]) for name, rows in tables.items()))
+    read = lambda t: spark.read.parquet(f"{path}/{t}/{at}")
+    _together(*(lambda name=name, of=of, by=by: _write(_counts(read(of), by, 1), f"{path}/{name}/{at}", by) for name, of, by in (("terms", "postings", "term"), ("vocabulary", "words", "word"))))
+    _spelled(spark, path, meta["state"], config, read("docs"))
     meta |= {"batches": [meta["state"]], "counted": [meta["state"]], "gone": [], "pending": 0}
     _publish(spark, path, meta)
 
