@@ -45,7 +45,7 @@ _CHANGED = """(SELECT p_partkey, p_name FROM part WHERE p_partkey % 10 <> 3 AND
 
 
 def _changed(spark, sf_dir) -> str:
-    """Parts saved; those of keys ending in 3 deleted, every seventh replaced."""
+    """Parts saved; those of keys ending in 3 deleted, every seventh replaced. Made anew for each query, since a merge changes it."""
     parts, path = table(spark, sf_dir, "part"), fresh(spark, "index")
     store.save(parts, path, PART_FIELDS, "p_partkey")
     renewed = parts.where("p_partkey % 7 = 0").withColumn("p_name", F.concat("p_name", F.lit(" renewed")))
@@ -131,7 +131,7 @@ occ AS (SELECT id, substr(chr(65535) || chr(65535) || t, i::INT, 3) AS term FROM
 SELECT id AS doc_key, count(*) AS n_terms, sum(tf)::BIGINT AS dl FROM (SELECT id, term, least(count(*), 256) AS tf FROM occ GROUP BY ALL) GROUP BY id""")
 def index_without_words(spark, sf_dir):
     """The configuration of grams of two and three characters that looks no words up."""
-    index = stored_parts(spark, sf_dir, config=IndexConfig.named(100))
+    index = stored(spark, table(spark, sf_dir, "part"), PART_FIELDS, "p_partkey", config=IndexConfig.named(100))
     return index.postings.groupBy("doc_id").agg(F.count("*").alias("n_terms"), F.sum(F.col("tf").cast("long")).alias("dl")).select(_doc_key(), "n_terms", "dl")
 
 

@@ -282,13 +282,23 @@ def statistics(index: Index) -> DataFrame:
     return index.stats.select("n_docs").crossJoin(index.terms.agg(F.count("*").alias("vocabulary")))
 
 
-def champions(prefixes: DataFrame, docs: DataFrame, k: int = CHAMPIONS) -> DataFrame:
-    """(prefix, doc_id, score, rank): of each one-character prefix the k best documents by the one-letter score."""
-    from trawl.operators.short import single_char_score
+def champions(docs: DataFrame, k: int = CHAMPIONS) -> DataFrame:
+    """(prefix, doc_id, score, rank): for each first character of a word the k best documents by the one-letter score.
 
-    one = prefixes.where(F.length("prefix") == 1).select("prefix", "doc_id").distinct()
-    scored = one.join(docs.select("doc_id", "lower_text"), "doc_id").select("prefix", "doc_id", single_char_score(F.col("prefix"), F.col("lower_text")).alias("score"))
-    return best_champions(scored, k)
+    The score is trawl.operators.short.single_char_score where a word begins with the character; it is summed up from the words here, so a document is
+    read once for all characters.
+    """
+    c = F.col
+    alone = F.length("word") == 1
+    placed = docs.select("doc_id", "token_count", (F.length("lower_text") == 1).alias("__one"), F.posexplode(T.words(c("lower_text"))).alias("position", "word"))
+    per = placed.groupBy("doc_id", F.substring("word", 1, 1).alias("prefix")).agg(
+        F.count("*").alias("starts"), F.min("position").alias("at"), F.max(alone.cast("int")).alias("word"), F.max((alone & (c("position") == 0)).cast("int")).alias("first"),
+        F.max("__one").alias("one"), F.max("token_count").alias("n"),
+    )
+    bits = F.lit(128) + F.when(c("at") == 0, 64).otherwise(0) + 32 * c("word") + 16 * c("first") + F.when(c("one"), 8).otherwise(0)
+    bits = bits.bitwiseOR(F.when(c("n") <= 3, 32).otherwise(0))
+    by_word = F.greatest(F.lit(0), F.least(F.lit(255), 255 - F.least(16 * c("at"), F.lit(240)) + F.least(8 * c("starts"), F.lit(32))))
+    return best_champions(per.select("prefix", "doc_id", (bits + by_word / 255.0).alias("score")), k)
 
 
 def best_champions(scored: DataFrame, k: int = CHAMPIONS) -> DataFrame:

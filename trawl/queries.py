@@ -76,8 +76,17 @@ def stored(spark, docs: DataFrame, fields, key: str, **kwargs):
     return store.save(docs, fresh(spark, "index"), fields, key, **kwargs)
 
 
-def stored_parts(spark, sf_dir, **kwargs):
-    return stored(spark, table(spark, sf_dir, "part"), PART_FIELDS, "p_partkey", **kwargs)
+_BUILT: dict[tuple[str, str], str] = {}
+
+
+def stored_parts(spark, sf_dir):
+    """The index of the parts, built by the first query of an application that needs it and loaded by the others."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _BUILT or not store.is_valid_index(spark, _BUILT[at]):
+        path = fresh(spark, "index")
+        store.save(table(spark, sf_dir, "part"), path, PART_FIELDS, "p_partkey")
+        _BUILT[at] = path
+    return store.load(spark, _BUILT[at])
 
 
 def asked(spark) -> DataFrame:
@@ -322,7 +331,7 @@ s AS (SELECT c, id, round({_SINGLE}, 6) AS score FROM d JOIN q ON len(list_filte
 SELECT c AS prefix, id AS doc_key, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 64""")
 def champions(spark, sf_dir):
     i = part_index(spark, sf_dir)
-    return I.champions(i.prefixes, i.docs).select("prefix", F.shiftright("doc_id", 20).alias("doc_key"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return I.champions(i.docs).select("prefix", F.shiftright("doc_id", 20).alias("doc_key"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 # ---- after ranking
@@ -423,7 +432,7 @@ def jaro_pairs(spark, sf_dir):
     )
 
 
-@query(f"""WITH {_VOCAB}, q AS (SELECT term AS query_id, substr(term, 1, 4) AS q FROM b), u AS (SELECT DISTINCT q FROM q), x AS (SELECT q, word, (SELECT min(levenshtein(q, substr(word, 1, i::INT))) FROM range(0, 6) r(i))::INT AS distance FROM u JOIN v ON length(word) >= 0)
+@query(f"""WITH {_VOCAB}, q AS (SELECT term AS query_id, substr(term, 1, 4) AS q FROM b), u AS (SELECT DISTINCT q FROM q), x AS (SELECT q, word, list_min(list_transform(range(0, 6), lambda i: levenshtein(q, substr(word, 1, i::INT))))::INT AS distance FROM u JOIN v ON length(word) >= 0)
 SELECT query_id, word, distance, rank FROM (SELECT query_id, word, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, length(word) DESC, word) AS rank FROM q JOIN x USING (q) WHERE distance <= 1) WHERE rank <= 10""")
 def autocomplete(spark, sf_dir):
     words = _vocabulary(spark, sf_dir).select(F.col("term").alias("word"), F.length("term").alias("weight"))
@@ -464,7 +473,7 @@ def segment_search(spark, sf_dir):
 
 @query()
 def synonym_search(spark, sf_dir):
-    index = stored_parts(spark, sf_dir, synonyms=Synonyms([["ring", "circlet"], ["tiny", "small"]]))
+    index = stored(spark, table(spark, sf_dir, "part"), PART_FIELDS, "p_partkey", synonyms=Synonyms([["ring", "circlet"], ["tiny", "small"]]))
     queries = spark.createDataFrame([("s1", "tiny circlet"), ("s2", "circlet")], "query_id string, text string")
     return SearchEngine(index).search(queries, k=20).records
 

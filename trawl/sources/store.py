@@ -204,7 +204,7 @@ def _spelled(spark: SparkSession, path: str, n: int, config: IndexConfig, docs:
     _together(
         lambda: _write(I.delete_table(words.select("word"), config.words or WordMatchConfig()), f"{path}/deletes/{at}", "variant"),
         lambda: _write(I.variant_table(terms.select("term")), f"{path}/variants/{at}", "variant"),
-        lambda: _write(I.champions(spark.read.parquet(f"{path}/prefixes/{at}"), docs), f"{path}/champions/{at}", "prefix"),
+        lambda: _write(I.champions(docs), f"{path}/champions/{at}", "prefix"),
     )
 
 
