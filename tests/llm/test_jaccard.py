@@ -55,7 +55,7 @@ def as_classes(df):
 
 @pytest.mark.parametrize("t,n,seed", [(0.55, 3, 1), (0.8, 1, 2), (0.3, 2, 3), (1.0, 3, 4)])
 def test_all_pairs(spark, monkeypatch, t, n, seed):
-    for name, small in (("CHUNK_TIMES", 4), ("CELL_SETS", 8), ("AT_ONCE", 4), ("MEASURED", 3)):
+    for name, small in (("CHUNK_TIMES", 4), ("CELL_SETS", 8), ("BLOCK_SETS", 5), ("AT_ONCE", 4), ("MEASURED", 3)):
         monkeypatch.setattr(jaccard, name, small)
     rows = [*enumerate(texts(random.Random(seed), 160))]
     rows += [(k + 1000, x) for k, x in rows[:30]]

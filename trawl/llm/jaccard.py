@@ -31,7 +31,7 @@ from trawl.llm.common import WordHasher, cut, final, grams, mix, slices, table
 GRAM, THRESHOLD = 3, 0.55
 #: A chunk of so many keys that holds one n-gram in so many documents makes it a frequent one. At most HOT_KEYS are kept, the
 #: most frequent; which they are has no bearing on the result.
-CHUNK_KEYS, CHUNK_TIMES, HOT_KEYS = 1_000_000, 3, 1_000_000
+CHUNK_KEYS, CHUNK_TIMES, HOT_KEYS = 2_000_000, 3, 1_000_000
 #: Sketches of a set, and min-hashes of each.
 SKETCHES, SKETCH_HASHES = 4, 3
 #: Sets measured against one pivot in one task.
@@ -44,8 +44,8 @@ BUCKET_KEYS = 1 << 22
 BLOCK_PAIRS = 1 << 19
 #: Bytes of sets after which they are sent on.
 SENT_BYTES = 1 << 23
-#: Sets and keys of one side of a cell, about.
-CELL_SETS, CELL_KEYS = 1024, 1 << 20
+#: Sets and keys of one side of a cell, about: the larger, the less often a set is sent. Sets of one side that are compared at once.
+CELL_SETS, CELL_KEYS, BLOCK_SETS = 4096, 1 << 21, 512
 #: Undecided pairs that are compared at once, without another pivot.
 AT_ONCE = 1 << 16
 #: Sets of this many rows or fewer are looked up by a broadcast (some 50 bytes each), beyond it by a shuffled join.
@@ -510,8 +510,8 @@ def _lone_pairs(cell, sides, t: float):
     others = left if right is None else right
     if not left[0] or not others[0]:
         return
-    for lo in range(0, len(left[0]), CELL_SETS):
-        sim = _similarities(left[3][lo : lo + CELL_SETS], others[3])
+    for lo in range(0, len(left[0]), BLOCK_SETS):
+        sim = _similarities(left[3][lo : lo + BLOCK_SETS], others[3])
         for a, b in zip(*np.nonzero(sim >= t)):
             a_ = int(a) + lo
             if (right is not None or a_ < b) and min(left[2][a_] & others[2][b]) == region:
@@ -554,8 +554,8 @@ def _links_in(cells: DataFrame, t: float) -> DataFrame:
                     to_pivot = _distances(middle, members[2])
                     ys = _distances(middle, theirs[3])
                     keep = np.flatnonzero(ys <= to_pivot.max() + 1 - t + TINY)
-                    for lo in range(0, len(keep), CELL_SETS):
-                        part = keep[lo : lo + CELL_SETS]
+                    for lo in range(0, len(keep), BLOCK_SETS):
+                        part = keep[lo : lo + BLOCK_SETS]
                         joined = window_join(members[2], [theirs[3][k] for k in part], to_pivot, ys[part], t)
                         for k, x in zip(joined @ np.array([theirs[1][k] for k in part]), members[0]):
                             if k:
