@@ -1,6 +1,9 @@
 import base64
 import gzip
 import hashlib
+import tracemalloc
+
+import pyarrow as pa
 
 from trawl.llm import warc
 
@@ -60,6 +63,21 @@ def test_sent_in_pieces(spark, monkeypatch):
     assert sorted((r.path, r.record_no, r.record_id) for r in warc.records(df).collect()) == want and len(want) == 102
 
 
+def test_large_archive_is_not_held(spark, monkeypatch):
+    one = b"".join(arc(1, [(f"http://a/{k} 1.2.3.4 20010203040507 text/html", b"z" * 1_000_000) for k in range(40)]))
+    df = spark.createDataFrame([("a", one[:0])], "path string, content binary")
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema: f)
+    monkeypatch.setattr(warc, "SENT_BYTES", 2_000_000)
+    run, batch = warc.records(df), pa.RecordBatch.from_arrays([pa.array(["a"]), pa.array([one])], ["path", "content"])
+    tracemalloc.start()
+    try:
+        rows = sum(b.num_rows for b in run([batch]))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == 41 and peak < len(one) / 2  # a few of its blocks
+
+
 def test_bad_input():
     cut = b"".join(arc(1, [("http://a/ 1.2.3.4 20010203040507 text/html", b"0123456789")]))[:-5]
     last = warc.convert("n", cut)[-1]

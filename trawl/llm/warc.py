@@ -6,6 +6,7 @@ import base64
 import hashlib
 import re
 import zlib
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -23,6 +24,7 @@ _SCHEMA = [
     ("target_uri", "string"), ("ip_address", "string"), ("content_type", "string"), ("content_length", "bigint"), ("block_digest", "string"),
     ("payload_digest", "string"), ("http_status", "int"), ("error", "string"), ("header", "string"), ("block", "binary"),
 ]
+_NEWLINE = re.compile(b"\n")
 _ARROW = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}
 
 
@@ -44,7 +46,7 @@ def _uuid(text: str) -> str:
     return f"<urn:uuid:{h[:8]}-{h[8:12]}-3{h[13:16]}-8{h[17:20]}-{h[20:]}>"
 
 
-def gunzip(data: bytes) -> tuple[bytes, str | None]:
+def gunzip(data: bytes | memoryview) -> tuple[bytes, str | None]:
     """All members of a gzip file, one after the other; what could be read, and what went wrong."""
     out = []
     while data[:2] == b"\x1f\x8b":
@@ -61,15 +63,20 @@ def gunzip(data: bytes) -> tuple[bytes, str | None]:
 
 def convert(name: str, data: bytes) -> list[dict]:
     """The WARC records of one ARC file, in order; never raises. See records()."""
+    return list(parse(name, data))
+
+
+def parse(name: str, data: bytes | memoryview) -> Iterator[dict]:
+    """What convert() lists, made one by one: of a view (of unsigned bytes) only the block at hand is copied."""
     data, error = gunzip(data) if data[:2] == b"\x1f\x8b" else (data, None)
-    out: list[dict] = []
-    at, version, archive_date = 0, 1, None
+    no, at, version, archive_date = 0, 0, 1, None
     while at < len(data):
-        if data[at : at + 1] in b"\r\n":
+        if data[at] in b"\r\n":
             at += 1
             continue
-        end = data.find(b"\n", at)
-        line = data[at : end if end >= 0 else len(data)].rstrip(b"\r").decode("utf-8", "replace")
+        ends = _NEWLINE.search(data, at)
+        end = ends.start() if ends else -1
+        line = bytes(data[at : end if end >= 0 else len(data)]).rstrip(b"\r").decode("utf-8", "replace")
         fields = line.split(" ")
         is_head = line.startswith("filedesc:")
         if is_head:
@@ -81,7 +88,7 @@ def convert(name: str, data: bytes) -> list[dict]:
             break
         url, (ip, stamp, kind) = " ".join(fields[:-n]), fields[-n : len(fields) - n + 3]
         length, start = int(fields[-1]), end + 1
-        block = data[start : start + length]
+        block = bytes(data[start : start + length])
         problem = None if len(block) == length else "truncated"
         result = fields[-6] if n == 9 else None
         date = _date(stamp)
@@ -117,16 +124,15 @@ def convert(name: str, data: bytes) -> list[dict]:
         lines += [f"WARC-Payload-Digest: {sha1(payload)}"] if payload is not None else []
         lines += ["WARC-Truncated: unspecified"] if problem == "truncated" else []
         lines += [f"Content-Type: {kind}", f"Content-Length: {len(block)}"]
-        out.append({
-            "record_no": len(out), "arc_version": version, "offset": at, "warc_type": warc_type, "record_id": ident, "warc_date": date, "target_uri": url,
+        yield {
+            "record_no": no, "arc_version": version, "offset": at, "warc_type": warc_type, "record_id": ident, "warc_date": date, "target_uri": url,
             "ip_address": None if is_head or ip in ("", "0.0.0.0", "-") else ip, "content_type": kind, "content_length": len(block), "block_digest": digest,
             "payload_digest": None if payload is None else sha1(payload), "http_status": int(result) if result and re.fullmatch(r"\d{3}", result) else None,
             "error": problem, "header": "\r\n".join(lines) + "\r\n\r\n", "block": block,
-        })
-        at = start + length
+        }
+        no, at = no + 1, start + length
     if error:
-        out.append({"record_no": len(out), "arc_version": version, "offset": at, "error": error})
-    return out
+        yield {"record_no": no, "arc_version": version, "offset": at, "error": error}
 
 
 def records(archives: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
@@ -157,13 +163,15 @@ def records(archives: DataFrame, key: str = "path", content: str = "content") ->
         for batch in batches:
             at, rows, held = [], [], 0
             for i, (name, data) in enumerate(zip(batch.column(0).cast(pa.string()).to_pylist(), batch.column(1))):
-                for r in convert(name or "", data.as_py()):
+                for r in parse(name or "", memoryview(data.as_buffer()).cast("B")):
                     at.append(i)
                     rows.append(r)
                     held += len(r.get("block") or b"")
                     if held > SENT_BYTES:  # what is sent at once stays small
-                        yield out(batch, at, rows)
+                        sent = out(batch, at, rows)
                         at, rows, held = [], [], 0
+                        yield sent
+                        del sent
             yield out(batch, at, rows)
 
     return own.mapInArrow(run, ", ".join([f"`{key}` {kind}", *(f"{n} {t}" for n, t in _SCHEMA)]))
