@@ -1,11 +1,14 @@
 import itertools
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
-from trawl.llm import jaccard
+from trawl.llm import common, jaccard
 
 
 def brute(rows, n, t):
@@ -144,3 +147,64 @@ def test_boundary_documents_with_default_settings(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     p = jaccard._prepare(docs, "doc_id", "text", jaccard.GRAM, jaccard.THRESHOLD, True)
     assert p["homes"].count() > 0 and p["across"].count() + p["lone"].count() > 0
+
+
+class Caught:
+    """Stands for a table, to get at the function that its tasks would run."""
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def documents(rng, n, words):
+    return pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array([" ".join(f"W{x}" for x in rng.integers(0, 40, words)) for _ in range(n)])], ["id", "text"])
+
+
+@pytest.mark.parametrize("chunk", [1, 700, 5000, 10**6])
+def test_frequent_grams_of_chunks(monkeypatch, chunk):
+    monkeypatch.setattr(jaccard, "CHUNK_KEYS", chunk)
+    batches = [documents(np.random.default_rng(k), 12, words) for k, words in enumerate((200, 3, 900, 1))]
+    got = [(b["id"].to_pylist(), b["size"].to_pylist()) for b in jaccard._survey(Caught(), 1)(iter(batches)) if 1 in b["kind"].to_pylist() or not b.num_rows]
+    want, held = [], []
+    sets = [keys for b in batches for _, keys in jaccard._sets(b, common.WordHasher(), 1)]
+    for k, keys in enumerate(sets):
+        held.append(keys)
+        if sum(map(len, held)) >= chunk or k == len(sets) - 1:
+            found, times = np.unique(np.concatenate(held), return_counts=True)
+            want.append((found[times >= jaccard.CHUNK_TIMES].view(np.int64).tolist(), times[times >= jaccard.CHUNK_TIMES].tolist()))
+            held = []
+    assert got == want
+
+
+def test_survey_holds_a_chunk_once(monkeypatch):
+    monkeypatch.setattr(jaccard, "CHUNK_KEYS", 400_000)
+    monkeypatch.setattr(common, "SLICE_BYTES", 10_000)
+    rng = np.random.default_rng(1)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(500), pa.int64()), pa.array([" ".join(map(str, rng.integers(0, 10**6, 1000))) for _ in range(500)])], ["id", "text"])
+    tracemalloc.start()
+    assert sum(b.num_rows for b in jaccard._survey(Caught(), 3)(iter([batch]))) >= 500
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2.5 * 8 * 400_000
+
+
+def test_lower_case_of_one_run_at_a_time():
+    texts = pa.array(["Ab, \u0130X " * 200, None, ""] * 5_000)
+    low = b"".join(data.tobytes() for _, _, data, _ in common.slices(texts))
+    assert low == "".join(pc.utf8_lower(texts.fill_null("")).to_pylist()).encode()
+    texts = texts.fill_null("")
+    before, most = pa.total_allocated_bytes(), 0
+    for _ in common.slices(texts):
+        most = max(most, pa.total_allocated_bytes() - before)
+    assert most < texts.nbytes / 4
+
+
+def test_tasks_release_what_is_free(monkeypatch):
+    seen = []
+    monkeypatch.setattr(common, "release", lambda: seen.append("released"))
+    assert list(common.tidy(lambda batches: (seen.append(b) or b for b in batches))(iter([1, 2]))) == [1, 2]
+    assert seen == ["released", 1, 2, "released"]
+    begun = common.tidy(lambda batches: (b for b in batches))(iter([1, 2]))
+    next(begun)
+    begun.close()
+    assert seen[4:] == ["released", "released"]

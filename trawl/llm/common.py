@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import contextvars
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +77,28 @@ def _remove(spark: SparkSession, paths: list[str]) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release() -> None:
+    """Give memory that is free back to the system: Arrow's pool and the C library keep what a task has used, and idle Python workers stay."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, for mapInArrow, with what is free released before it begins and after it ends."""
+
+    def tidied(batches):
+        release()
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return tidied
+
+
 def n_words(text: Column | str) -> Column:
     """Maximal runs of characters that are not white space; null counts as none."""
     return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long")
@@ -135,24 +158,28 @@ class WordHasher:
 
 
 def slices(texts: pa.Array, lower: bool = True):
-    """(first, last, bytes, offsets) for runs of texts of about SLICE_BYTES; a null text counts as empty."""
+    """(first, last, bytes, offsets) for runs of texts of about SLICE_BYTES, before lower-casing, which holds one run at a time; a null text counts as empty."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    if lower:
-        texts = pc.utf8_lower(texts)
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    _, raw_offsets, raw = texts.buffers()
-    offsets = np.frombuffer(raw_offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
+    offsets = raw_parts(texts)[1]
     at = 0
     while at < len(texts):
         end = int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, "right")) - 1
         end = min(max(end, at + 1), len(texts))
-        own = offsets[at : end + 1]
+        run = texts.slice(at, end - at)
+        data, own = raw_parts(pc.utf8_lower(run) if lower else run)
         yield at, end, data[own[0] : own[-1]], own - own[0]
         at = end
 
 
+def raw_parts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The buffer of bytes of large strings, and their offsets in it."""
+    _, offsets, raw = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    return np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8), offsets
+
+
 def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hashes of the n-grams of one text's words; a text of fewer words is one gram, one of none has none."""
     if not len(hashes):

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawl.llm.common import WordHasher, cut, final, grams, mix, slices, table
+from trawl.llm.common import WordHasher, cut, final, grams, mix, slices, table, tidy
 
 GRAM, THRESHOLD = 3, 0.55
 #: A chunk of so many keys that holds one n-gram in so many documents makes it a frequent one. At most HOT_KEYS are kept, the
@@ -44,6 +44,8 @@ BUCKET_KEYS = 1 << 22
 BLOCK_PAIRS = 1 << 19
 #: Bytes of sets after which they are sent on.
 SENT_BYTES = 1 << 23
+#: Bytes that a row takes besides its keys until it is sent.
+ROW_BYTES = 160
 #: Sets and keys of one side of a cell, about: the larger, the less often a set is sent. Sets of one side that are compared at once.
 CELL_SETS, CELL_KEYS, BLOCK_SETS = 4096, 1 << 21, 512
 #: Undecided pairs that are compared at once, without another pivot.
@@ -98,17 +100,22 @@ def _sketches(keys: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _frequent(keys: np.ndarray, times: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys that come at least so many times, and how often; keys are sorted in place, besides them it takes a byte a key."""
+    keys.sort()
+    hot = np.unique(keys[: len(keys) - times + 1][keys[: len(keys) - times + 1] == keys[times - 1 :]]) if len(keys) >= times else keys[:0]
+    return hot, np.searchsorted(keys, hot, "right") - np.searchsorted(keys, hot)
+
+
 def _survey(docs: DataFrame, n: int) -> DataFrame:
     """kind 0: id, sid, size and sketches of each document with words; kind 1: n-grams frequent in a chunk (as id), and how often (as size)."""
 
     def run(batches):
-        hasher, held, n_held = WordHasher(), [], 0
+        hasher, held, n_held = WordHasher(), np.empty(CHUNK_KEYS, np.uint64), 0
 
         def frequent():
-            keys, times = np.unique(np.concatenate(held), return_counts=True)
-            hot = times >= CHUNK_TIMES
-            k = int(hot.sum())
-            return out(1, keys[hot].view(np.int64), np.zeros(k, np.int64), times[hot], [None] * k)
+            hot, times = _frequent(held[:n_held], CHUNK_TIMES)
+            return out(1, hot.view(np.int64), np.zeros(len(hot), np.int64), times, [None] * len(hot))
 
         def out(kind, a, b, c, d):
             cols = [pa.array(np.full(len(a), kind, np.int8)), pa.array(a), pa.array(b), pa.array(c), pa.array(d, pa.list_(pa.int64()))]
@@ -122,17 +129,20 @@ def _survey(docs: DataFrame, n: int) -> DataFrame:
                 sids.append(_sid(keys))
                 sizes.append(len(keys))
                 sketches.append(_sketches(keys))
-                held.append(keys)
+                if n_held + len(keys) > len(held):  # the set that ends a chunk belongs to it
+                    held = np.concatenate([held[:n_held], keys])
+                else:
+                    held[n_held : n_held + len(keys)] = keys
                 n_held += len(keys)
                 if n_held >= CHUNK_KEYS:
                     yield frequent()
-                    held, n_held = [], 0
+                    held, n_held = held if len(held) == CHUNK_KEYS else np.empty(CHUNK_KEYS, np.uint64), 0
             if rows:
                 yield out(0, ids[rows].astype(np.int64), np.array(sids, np.int64), np.array(sizes, np.int64), sketches)
-        if held:
+        if n_held:
             yield frequent()
 
-    return docs.mapInArrow(run, "kind tinyint, id bigint, sid bigint, size bigint, sketches array<bigint>")
+    return docs.mapInArrow(tidy(run), "kind tinyint, id bigint, sid bigint, size bigint, sketches array<bigint>")
 
 
 def _small(df: DataFrame, spread_over: int = BROADCAST_DOCS) -> DataFrame:
@@ -174,7 +184,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column(2).take(at), batch.column(3).take(at), pa.array(out, pa.binary())], ["sid", "tags", "keys"])
 
     tags = wanted.schema["tags"].dataType.simpleString()
-    return found.mapInArrow(run, f"sid bigint, tags {tags}, keys binary")
+    return found.mapInArrow(tidy(run), f"sid bigint, tags {tags}, keys binary")
 
 
 def _homes(docs: DataFrame, reps: DataFrame, n: int, t: float) -> DataFrame:
@@ -201,7 +211,7 @@ def _homes(docs: DataFrame, reps: DataFrame, n: int, t: float) -> DataFrame:
                     out.append((sid, p))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["sid", "home"])
 
-    near = cut(rows.mapInArrow(run, "sid bigint, home bigint").distinct(), "jaccard-near")
+    near = cut(rows.mapInArrow(tidy(run), "sid bigint, home bigint").distinct(), "jaccard-near")
     return near.unionByName(near.select(F.col("home").alias("sid"), "home").distinct())
 
 
@@ -213,7 +223,7 @@ def _spread(docs: DataFrame, hot, n: int, t: float, buckets: int) -> DataFrame:
         hasher, known, seen = WordHasher(), hot.value, set()
         top = np.uint64(1) << np.uint64(63)
         for batch in batches:
-            cols: list[list] = [[], [], [], []]
+            cols, held = ([], [], [], []), 0
             for _, grams_ in _sets(batch, hasher, n):
                 sid = _sid(grams_)
                 if sid in seen:  # a set of this task that has been sent
@@ -235,9 +245,16 @@ def _spread(docs: DataFrame, hot, n: int, t: float, buckets: int) -> DataFrame:
                 for a, b in zip(cuts, [*cuts[1:], len(own)]):
                     for col, x in zip(cols, (bucket[a], sid, len(keys), short[a:b].tobytes())):
                         col.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[1:3]), pa.array(cols[3], pa.binary())], ["bucket", "sid", "size", "keys"])
+                held += 4 * len(own) + ROW_BYTES * len(cuts)
+                if held > SENT_BYTES:
+                    yield sent(cols)
+                    cols, held = ([], [], [], []), 0
+            yield sent(cols)
+
+    def sent(cols):
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[1:3]), pa.array(cols[3], pa.binary())], ["bucket", "sid", "size", "keys"])
 
-    return docs.mapInArrow(run, "bucket int, sid bigint, size bigint, keys binary")
+    return docs.mapInArrow(tidy(run), "bucket int, sid bigint, size bigint, keys binary")
 
 
 def _count_pairs(codes: np.ndarray, group: np.ndarray, n: int):
@@ -338,7 +355,7 @@ def _candidates(spread: DataFrame, t: float, buckets: int) -> DataFrame:
         cols = [pa.array(np.full(len(a), kind, np.int8)), region, pa.array(a), pa.array(b), pa.array(shared.astype(np.int32)), pa.array(least.astype(np.int32))]
         return pa.RecordBatch.from_arrays(cols, ["kind", "region", "a", "b", "n", "least"])
 
-    return spread.mapInArrow(run, "kind tinyint, region bigint, a bigint, b bigint, n int, least int")
+    return spread.mapInArrow(tidy(run), "kind tinyint, region bigint, a bigint, b bigint, n int, least int")
 
 
 def _regions(found: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -528,7 +545,7 @@ def _pairs_in(cells: DataFrame, t: float) -> DataFrame:
                 a, b, s = zip(*rows)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], ["a", "b", "jaccard"])
 
-    return cells.mapInArrow(run, "a bigint, b bigint, jaccard double")
+    return cells.mapInArrow(tidy(run), "a bigint, b bigint, jaccard double")
 
 
 def _links_in(cells: DataFrame, t: float) -> DataFrame:
@@ -569,7 +586,7 @@ def _links_in(cells: DataFrame, t: float) -> DataFrame:
                 b = [None] * len(links) + [e[1] for e in edges]
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([*links.values(), *(0 for _ in edges)], pa.int64())], ["a", "b", "links"])
 
-    return cells.mapInArrow(run, "a bigint, b bigint, links bigint")
+    return cells.mapInArrow(tidy(run), "a bigint, b bigint, links bigint")
 
 
 def _prepare(df: DataFrame, key: str, text: str, n: int, t: float, regions: bool) -> dict[str, DataFrame | None]:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawl.llm.common import WordHasher, slices, table
+from trawl.llm.common import WordHasher, raw_parts, slices, table, tidy
 
 STATS = ("symbols_per_word", "upper_share", "wordless_share", "repeated_word_share", "repeated_line_share")
 #: At most so many good labelled documents fit the forest: those of the lowest hashes of the key. Its threshold is calibrated on all.
@@ -71,12 +71,9 @@ def _same(texts: pa.Array):
     import pyarrow.compute as pc
 
     cuts = [(a, b) for a, b, _, _ in slices(texts, lower=False)]
-    low = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    filled = pc.fill_null(texts.cast(pa.large_string()), "")
     for a, b in cuts:
-        part = low.slice(a, b - a)
-        _, raw_off, raw = part.buffers()
-        o = np.frombuffer(raw_off, np.int64)[part.offset : part.offset + len(part) + 1]
-        data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
+        data, o = raw_parts(pc.utf8_lower(filled.slice(a, b - a)))
         yield a, b, data[o[0] : o[-1]], o - o[0]
 
 
@@ -200,7 +197,7 @@ def with_stats(df: DataFrame, text: str, keep: list[str], forest: Forest | None
     schema = StructType([*fields])
     for s in [*(f"{s} double" for s in STATS), *scored]:
         schema = schema.add(*s.split(" "))
-    return own.mapInArrow(run, schema)
+    return own.mapInArrow(tidy(run), schema)
 
 
 def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", **fitting) -> DataFrame:
