@@ -59,3 +59,34 @@ def test_best_of_many_ties():
     got = sorted(zip(found.query.tolist(), (-found.score).tolist(), found.doc.tolist()))
     every = sorted(zip(query.tolist(), (-score).tolist(), doc.tolist()))
     assert got == [r for q in range(4) for r in [e for e in every if e[0] == q][:9]]
+
+
+def test_all_of_a_long_query_counts(spark, tmp_path):
+    """Only the end of the text, beyond 128 terms, tells the documents apart."""
+    head = " ".join(f"common{k}" for k in range(60))
+    docs = [(k, f"{head} {end}") for k, end in enumerate(("granite", "basalt", "obsidian", "feldspar"))] + [(9, "something else entirely")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, f"{head} obsidian"), (2, f"{head} feldspar")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = QUERIES["bm25_batch_topk"](spark, str(tmp_path)).collect()
+    assert {r.query_id: r.doc_key for r in rows if r["rank"] == 1} == {1: 2, 2: 3}
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["candidate_tiers", "intersect_terms"])
+def test_postings_are_not_broadcast(spark, sf_dir, name):
+    """Their size is guessed from the names that they are made of; the terms of the queries are sent instead."""
+    text = plan(QUERIES[name](spark, sf_dir))
+    assert text.count("BroadcastExchange") == 1
+    assert "MapInArrow" not in text[text.index("BroadcastExchange") :]
+
+
+def test_many_queries_are_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(retrieve, "BROADCAST_ROWS", 2)
+    postings = spark.createDataFrame([("x", 1), ("y", 1), ("x", 2), ("z", 3)], "term string, doc_id long")
+    wanted = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "z"), ("b", "w")], "query_id string, term string")
+    found = retrieve.tiers(wanted, postings)
+    assert "Broadcast" not in plan(found)
+    assert sorted(map(tuple, found.collect())) == [("a", 1, 0), ("a", 2, 1), ("b", 3, 1)]
