@@ -90,3 +90,47 @@ def test_many_queries_are_shuffled(spark, monkeypatch):
     found = retrieve.tiers(wanted, postings)
     assert "Broadcast" not in plan(found)
     assert sorted(map(tuple, found.collect())) == [("a", 1, 0), ("a", 2, 1), ("b", 3, 1)]
+
+
+@pytest.fixture(scope="module")
+def index(spark):
+    rng = random.Random(8)
+    words = ["river", "rivet", "stone", "stones", "bridge", "old", "in", "salt", "sale"]
+    docs = [(k, " ".join(rng.choice(words) for _ in range(rng.randint(0, 4)))) for k in range(200)]
+    return I.build_index(spark.createDataFrame(docs, "key long, text string"), [FieldSpec("text")], "key")
+
+
+def test_scan_and_postings_agree(spark, index, monkeypatch):
+    queries = spark.createDataFrame([("a", "river stone"), ("b", "rivel bridgs"), ("c", "salt sale old"), ("d", "qqqqqq")], "query_id string, text string")
+    wanted = retrieve.query_terms(retrieve.prepare_queries(queries, index.config), index.config)
+    found = []
+    for share in (-1, 1e9):
+        monkeypatch.setattr(scan, "SCAN_SHARE", share)
+        found.append(sorted(map(tuple, retrieve.top(scan.top_of_index(index, wanted, 6, 5), 6).collect())))
+    assert found[0] == found[1] and len(found[0]) == 18
+
+
+def test_first_candidates_of_words(spark, index):
+    queries = spark.createDataFrame([("a", "riverr"), ("b", "in st"), ("c", "zzz"), ("d", "sal old")], "query_id string, text string")
+    prepared = retrieve.prepare_queries(queries, index.config)
+    every = {}
+    for r in retrieve.word_candidates(prepared, index.words, index.deletes, index.config.words, index.word_idf).collect():
+        every.setdefault(r.query_id, set()).add(r.doc_id)
+    stage = spark.createDataFrame([(q, k << 20) for q in "abcd" for k in range(150, 200)], "query_id string, doc_id long")
+    got = {}
+    for r in retrieve.first_candidates(prepared, index.words, index.deletes, index.config.words, 8, stage, index.word_idf).collect():
+        got.setdefault(r.query_id, set()).add(r.doc_id)
+    assert set(every) == set(got) and "b" in got
+    for q, own in every.items():
+        assert got[q] <= own and {d for d in own if d >= 150 << 20} <= got[q] and set(sorted(own)[:8]) <= got[q]
+
+
+def test_equal_texts_have_equal_features(spark):
+    from trawl.operators import coverage
+
+    rows = [("a", k, 0.0, "old stone", [("old", 1.0, 1.0), ("stone", 1.0, 1.0)], t) for k, t in enumerate(["old stone bridge", "Old stone bridge", None, "", "old stone bridge", "stone"] * 30)]
+    df = spark.createDataFrame(rows, "query_id string, doc_id long, base double, q string, tokens array<struct<token:string,gram_idf:double,word_idf:double>>, norm_text string").coalesce(1)
+    query = coverage.Query("old stone", ["old", "stone"], [1.0, 1.0], [1.0, 1.0])
+    for r in coverage.with_features(df).collect():
+        assert {n: r[n] for n, _ in coverage.FEATURES} == coverage.features(query, rows[r.doc_id][5])
+        assert r.doc_len == len(rows[r.doc_id][5] or "")
